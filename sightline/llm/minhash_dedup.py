@@ -156,7 +156,7 @@ def _dense(matches: int, forest: bool):
     """One pair of blocks of one posting list to candidate pairs."""
     schema = K.columns("a long, b long")
 
-    def run(_, rows: pa.Table):
+    def run(key, rows):
         ids, side, comp = (rows[c].to_numpy() for c in ("doc_id", "side", "comp"))
         m = _matrix(rows)
         if forest:

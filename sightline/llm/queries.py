@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sightline.llm import substring_dedup
+from sightline.llm import minhash_dedup, packing, prefix_tokens, substring_dedup
 
 QUERIES = {
+    "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op9_prefix_token_counts": prefix_tokens.op9_prefix_token_counts,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
