@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sightline.llm import minhash_dedup, packing, prefix_tokens, substring_dedup
+from sightline.llm import language_id, license_scan, minhash_dedup, packing, prefix_tokens, substring_dedup
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_prefix_token_counts": prefix_tokens.op9_prefix_token_counts,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": license_scan.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
