@@ -4,7 +4,7 @@
   represented by the least id; only representatives go on.
 * A signature has ``COORDS`` min-hash coordinates.  Each (coordinate, value) pair is a token, and
   documents are posted under their tokens.  Two documents are candidates when at least
-  ``MATCHES`` tokens collide.  At similarity 0.8 a pair misses that with a chance of about 1e-6.
+  ``MATCHES`` tokens collide.  At similarity 0.8 a pair misses that with a chance of about 1e-5.
 * Skipping: a token that only one document holds can't collide, so documents with fewer than
   ``MATCHES`` other tokens drop out.  Prefix: of the tokens in order of (frequency, token), two
   candidates share one of the first COORDS - MATCHES + 1, so only those are posted.
@@ -12,7 +12,8 @@
   longer than ``SHORT`` are cut into blocks; each pair of blocks is compared as matrices and gives
   a spanning forest of its best-matching pairs, so a group of copies never gives all its pairs.
 * Candidates are confirmed on full sets.  Where a long list still holds several components after
-  that, all its matching pairs across components are confirmed as well, so no link is lost.
+  that, all its matching pairs across components are confirmed in the same tasks, each pair under
+  one of its common tokens only, so no link is lost and only links that join are returned.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; fewer words than
 k make one shingle; repeated rows of one id share its result; a null id links with nothing and is
@@ -31,7 +32,7 @@ from sightline.llm import kernels as K
 from sightline.operators.components import connected_components
 from sightline.plans.store import materialize
 
-COORDS, MATCHES, SHORT, BLOCK = 64, 36, 32, 1024
+COORDS, MATCHES, SHORT, BLOCK = 64, 38, 32, 1024
 _FACTORS = K.mix(np.arange(1, 2 * COORDS + 1, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15))
 
 
@@ -119,9 +120,8 @@ def _confirm(k: int, percent: int):
     return run, "src long, dst long"
 
 
-def _matrix(rows: pa.Table) -> np.ndarray:
+def _matrix(lists: pa.Array) -> np.ndarray:
     """One row a document, one column a coordinate; a coordinate that isn't posted equals none."""
-    lists = rows["tokens"].combine_chunks()
     values = lists.flatten().to_numpy()
     sizes = np.diff(lists.offsets.to_numpy())
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -152,36 +152,68 @@ def _forest(ids, m, side, floor):
     return src, dst
 
 
-def _dense(matches: int, forest: bool):
-    """One pair of blocks of one posting list to candidate pairs."""
+def _densest(matches: int):
+    """One pair of blocks of one posting list to the pairs of its spanning forest."""
     schema = K.columns("a long, b long")
 
     def run(key, rows):
-        ids, side, comp = (rows[c].to_numpy() for c in ("doc_id", "side", "comp"))
-        m = _matrix(rows)
-        if forest:
-            src, dst = _forest(ids, m, side, matches)
-        else:
-            src, dst = [], []
-            two = side.min() != side.max()
-            for i in range(len(ids)):
-                ok = ((m[i + 1 :] == m[i]).sum(axis=1) >= matches) & (comp[i + 1 :] != comp[i])
-                if two:
-                    ok &= side[i + 1 :] != side[i]
-                dst += ids[i + 1 :][ok].tolist()
-                src += [int(ids[i])] * int(ok.sum())
-        src, dst = np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
+        ids, side = rows["doc_id"].to_numpy(), rows["side"].to_numpy()
+        src, dst = (np.array(x, dtype=np.int64) for x in _forest(ids, _matrix(rows["tokens"].combine_chunks()), side, matches))
         return pa.Table.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], schema=schema)
 
     return run
 
 
-def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (token, df, doc_id, tokens, comp) dealt to pairs of blocks of at most about ``block`` documents."""
-    n = F.ceil(F.col("df") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
-    dealt = rows.withColumn("n", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc_id", "tokens", "comp")
+def _joining(k: int, percent: int, matches: int):
+    """One pair of blocks of one posting list to the links, confirmed on full sets, that join its components."""
+    schema = K.columns("src long, dst long")
+    places = np.arange(COORDS) * 37
+
+    def run(key, rows):
+        open_, sets = zstandard.ZstdDecompressor().decompress, {}
+        ids, side, comp = (rows[c].to_numpy() for c in ("doc_id", "side", "comp"))
+        m, short, long_ = (_matrix(rows[c].combine_chunks()) for c in ("tokens", "rare", "often"))
+        own, blobs = key[0].as_py() >> 32, rows["blob"]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                raw = open_(blobs[i].as_py())
+                sets[i] = shingle_sets(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), k)[0]
+            return sets[i]
+
+        src, dst = [], []
+        for i in range(len(ids) - 1):
+            ok = (comp[i + 1 :] != comp[i]) & (side[i + 1 :] != side[i] if key[1] != key[2] else True)
+            near = np.flatnonzero(ok) + i + 1
+            near = near[(m[near] == m[i]).sum(axis=1) >= matches]
+            near = near[~(short[near] == short[i]).any(axis=1)]  # those were candidates before
+            turn = (places + ((ids[near] ^ ids[i]) % COORDS)[:, None]) % COORDS
+            near = near[np.where(long_[near] == long_[i], turn, COORDS).argmin(axis=1) == own] if len(near) else near
+            for j in near.tolist():
+                if root(int(comp[i])) != root(int(comp[j])):
+                    a, b = full(i), full(j)
+                    if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if 100 * both >= percent * (len(a) + len(b) - both):
+                            parent[root(int(comp[i]))] = root(int(comp[j]))
+                            src.append(int(ids[i]))
+                            dst.append(int(ids[j]))
+        return pa.Table.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
+
+    return run
+
+
+def _blocks(rows: DataFrame, block: int, *more: str) -> DataFrame:
+    """Rows (token, df, doc_id, ...) dealt to pairs of blocks of at most about ``block`` documents."""
+    dealt = rows.withColumn("n", F.ceil(F.col("df") / block).cast("int"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", *more)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, short: int = SHORT, block: int = BLOCK) -> DataFrame:
@@ -200,27 +232,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, short: int =
     groups = under.filter(F.col("df") <= short).groupBy("token").agg(F.sort_array(F.collect_list("doc_id")).alias("ds")).filter(F.size("ds") > 1).select("ds").distinct()
     ahead = F.flatten(F.transform("ds", lambda x, i: F.transform(F.filter("ds", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = groups.select(F.explode(ahead).alias("p")).select("p.a", "p.b")
-    long_lists = materialize(prefix.select("doc_id", "tokens", F.explode("prefix").alias("p")).filter(F.col("p.df") > short).select("doc_id", "tokens", "p.token", "p.df"), "long")
+    tokens_of = lambda keep: F.transform(F.filter("prefix", keep), lambda x: x["token"])
+    parts = prefix.select("doc_id", "tokens", tokens_of(lambda x: x["df"] <= short).alias("rare"), tokens_of(lambda x: x["df"] > short).alias("often"), F.explode("prefix").alias("p"))
+    long_lists = materialize(parts.filter(F.col("p.df") > short).select("doc_id", "tokens", "rare", "often", "p.token", "p.df"), "long")
     some = long_lists.limit(1).count() > 0
     if some:
-        best = _blocks(long_lists.withColumn("comp", F.col("doc_id")), block).groupBy("token", "i", "j").applyInArrow(_dense(MATCHES, True), "a long, b long")
-        pairs = pairs.union(best)
+        pairs = pairs.union(_blocks(long_lists, block, "tokens").groupBy("token", "i", "j").applyInArrow(_densest(MATCHES), "a long, b long"))
     blobs = materialize(prefix.select("doc_id").join(text.filter("doc_id is not null").mapInArrow(_squeeze, "doc_id long, blob binary"), "doc_id").dropDuplicates(["doc_id"]), "blobs")
     run, schema = _confirm(k, percent)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a = blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a"))
-        b = blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b"))
-        return pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, schema)
-
-    links = materialize(confirmed(pairs), "links")
+    a = blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a"))
+    b = blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b"))
+    links = materialize(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(run, schema), "links")
     found = connected_components(links)
     if some:
-        known = found.withColumnRenamed("node", "doc_id")
-        now = long_lists.join(known, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        now = long_lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-        rest = _blocks(now.join(mixed, "token"), block).groupBy("token", "i", "j").applyInArrow(_dense(MATCHES, False), "a long, b long")
-        more = materialize(confirmed(rest), "more")
+        dealt = _blocks(now.join(mixed, "token").join(blobs, "doc_id"), block, "tokens", "rare", "often", "comp", "blob")
+        more = materialize(dealt.groupBy("token", "i", "j").applyInArrow(_joining(k, percent, MATCHES), "src long, dst long"), "joining")
         if more.limit(1).count():
             found = connected_components(links.union(more))
     labels = classes.select("s1", "s2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("least"))
