@@ -31,3 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
+    """``df`` written once, with a broadcast hint if it has at most ``rows`` rows; beyond that, joins shuffle."""
+    from pyspark.sql import functions as F
+
+    kept = materialize(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept
