@@ -104,6 +104,25 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], accept: float = AC
     return text.mapInArrow(run, "doc_id long, lang_pred string, score double, margin_bytes long, rejected boolean")
 
 
+def relabel(docs: DataFrame, dictionaries: dict[str, bytes], accept: float = ACCEPT) -> DataFrame:
+    """The rows that aren't rejected, with ``lang`` replaced by the prediction, in one pass and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index("lang")
+    text_at = docs.columns.index("text")
+
+    def run(batches):
+        judge = Classifier(shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                told = [judge(t) for t in part.column(text_at).to_pylist()]
+                arrays = list(part.columns)
+                arrays[at] = pa.array([t[0] for t in told], arrays[at].type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array([t[1] >= accept for t in told], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
