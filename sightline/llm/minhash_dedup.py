@@ -32,7 +32,7 @@ from sightline.llm import kernels as K
 from sightline.operators.components import connected_components
 from sightline.plans.store import materialize
 
-COORDS, MATCHES, SHORT, BLOCK = 64, 38, 32, 1024
+COORDS, MATCHES, SHORT, BLOCK, BROADCAST_IDS = 64, 38, 32, 1024, 1_000_000
 _FACTORS = K.mix(np.arange(1, 2 * COORDS + 1, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15))
 
 
@@ -86,7 +86,7 @@ def _sketch(k: int):
 
 
 def _squeeze(batches):
-    squeeze, schema = zstandard.ZstdCompressor(level=1).compress, K.columns("doc_id long, blob binary")
+    squeeze, schema = zstandard.ZstdCompressor(level=3).compress, K.columns("doc_id long, blob binary")
     for batch in batches:
         for at, n, data, offsets in K.slices(batch["text"], lower=True):
             raw = data.tobytes()
@@ -223,14 +223,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, short: int =
     base = materialize(text.mapInArrow(run, schema), "sketch")
     real = base.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("tokens", "doc_id").alias("tokens")), "classes")
-    posted = classes.select("rep", F.explode("tokens").alias("token"))
+    posted = classes.select("rep", "n_shingles", F.explode("tokens").alias("token"))
     common = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = posted.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= MATCHES)
+    lists = posted.join(common, "token").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= MATCHES)
     room = F.size("t") - (MATCHES - 1)
-    prefix = materialize(lists.select(F.col("rep").alias("doc_id"), F.slice("t", F.lit(1), room).alias("prefix"), F.sort_array(F.transform("t", lambda x: x["token"])).alias("tokens")), "prefix")
-    under = prefix.select("doc_id", F.explode("prefix").alias("p")).select("doc_id", "p.token", "p.df")
-    groups = under.filter(F.col("df") <= short).groupBy("token").agg(F.sort_array(F.collect_list("doc_id")).alias("ds")).filter(F.size("ds") > 1).select("ds").distinct()
-    ahead = F.flatten(F.transform("ds", lambda x, i: F.transform(F.filter("ds", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    prefix = materialize(lists.select(F.col("rep").alias("doc_id"), F.slice("t", F.lit(1), room).alias("prefix"), F.sort_array(F.transform("t", lambda x: x["token"])).alias("tokens"), F.col("n_shingles").alias("n")), "prefix")
+    under = prefix.select("doc_id", "n", F.explode("prefix").alias("p")).filter(F.col("p.df") <= short)
+    groups = under.groupBy("p.token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("ds")).filter(F.size("ds") > 1).select("ds").distinct()
+    fit = lambda x, y: (y["doc_id"] > x["doc_id"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    ahead = F.flatten(F.transform("ds", lambda x: F.transform(F.filter("ds", lambda y: fit(x, y)), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))))
     pairs = groups.select(F.explode(ahead).alias("p")).select("p.a", "p.b")
     tokens_of = lambda keep: F.transform(F.filter("prefix", keep), lambda x: x["token"])
     parts = prefix.select("doc_id", "tokens", tokens_of(lambda x: x["df"] <= short).alias("rare"), tokens_of(lambda x: x["df"] > short).alias("often"), F.explode("prefix").alias("p"))
@@ -238,7 +239,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, short: int =
     some = long_lists.limit(1).count() > 0
     if some:
         pairs = pairs.union(_blocks(long_lists, block, "tokens").groupBy("token", "i", "j").applyInArrow(_densest(MATCHES), "a long, b long"))
-    blobs = materialize(prefix.select("doc_id").join(text.filter("doc_id is not null").mapInArrow(_squeeze, "doc_id long, blob binary"), "doc_id").dropDuplicates(["doc_id"]), "blobs")
+    wanted = prefix.select("doc_id")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # else both sides are shuffled
+    blobs = materialize(wanted.join(text.filter("doc_id is not null").mapInArrow(_squeeze, "doc_id long, blob binary"), "doc_id").dropDuplicates(["doc_id"]), "blobs")
     run, schema = _confirm(k, percent)
 
     a = blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a"))
