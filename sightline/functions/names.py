@@ -37,7 +37,6 @@ def merged_name(dataset: Column, file_name: Column) -> Column:
 
 
 def match_key(name: Column) -> Column:
-    """A name without its export hash, extension and leftover extension tag, in that order."""
-    bare = F.regexp_replace(name, r"\.rf\.[0-9a-fA-F]{32}", "")
-    bare = F.regexp_replace(bare, r"\.[^./]*$", "")
-    return F.regexp_replace(bare, r"(?i)_(jpg|jpeg|png)$", "")
+    """What of a name survives an upload: without export hashes, image extension and leftover tag, in that order."""
+    bare = F.regexp_replace(name, r"\.rf\.[0-9a-f]{32}", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?i)\.(?:jpe?g|png)$", ""), r"(?i)_jpe?g$", "")

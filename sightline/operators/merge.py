@@ -27,22 +27,31 @@ def block_reason(source_name: Column, scene: Column, protected: Column) -> Colum
     return F.when(source_name, "source_name").when(scene, "same_scene").when(protected, "near_protected")
 
 
-def plan_merge(images: DataFrame, train_only: list[str], exclude: str | None = None, target: str = "train") -> DataFrame:
+def read_scenes(candidates: DataFrame, patterns: list[tuple[str, str, bool]]) -> DataFrame:
+    """Candidates once for each (dataset, pattern, has frames) that reads their source name, with recording and frame."""
+    name = F.col("source_name")
+    read = [F.struct(F.lit(d).alias("scene_dataset"), N.group_of(name, p, "recording").alias("recording"), (N.group_of(name, p, "frame").cast("long") if framed else F.lit(None).cast("long")).alias("frame")) for d, p, framed in patterns]
+    told = candidates.withColumn("scene", F.explode(F.filter(F.array(*read), lambda s: s["recording"].isNotNull())))
+    return told.select("*", "scene.*").drop("scene")
+
+
+def plan_merge(images: DataFrame, train_only: list[str], exclude: str | None = None, exclude_files: tuple[str, ...] = ()) -> DataFrame:
     """Images with target_split, merged_name and drop_reason.
 
-    Input rows have dataset, split, file_name, copy_key, keep (the copy to keep) and reason (why
+    Input rows have dataset, split, file_name, source_name, copy_key, keep (the copy to keep) and reason (why
     blocked, else null).  A copy group with a blocked copy goes whole, each copy with its own
     reason or else the group's first; then the other copies, excluded names and blocked images go.
     Test images are never excluded.
     """
     group = W.partitionBy("dataset", "copy_key")
     shared = F.when(F.col("copy_key").isNotNull(), F.min("reason").over(group))
-    excluded = F.lit(False) if exclude is None else (F.col("split") != "test") & N.matches(F.col("file_name"), exclude)
+    split = F.when(F.col("dataset").isin(train_only), F.lit("train")).otherwise(F.col("split"))
+    listed = F.col("file_name").isin(list(exclude_files)) if exclude_files else F.lit(False)
+    excluded = (split != "test") & (listed if exclude is None else listed | N.matches(F.col("source_name"), exclude))
     own = F.coalesce("reason", F.when(F.col("split") == "train", shared))
     copy = F.when(F.col("copy_key").isNotNull() & (F.col("split") == "train"), F.when(own.isNotNull(), own).when(~F.col("keep"), "copy"))
     blocked = F.when(F.col("dataset").isin(train_only), F.col("reason"))
     drop = F.coalesce(copy, F.when(excluded, "excluded"), blocked)
-    split = F.when(F.col("dataset").isin(train_only), F.lit(target)).otherwise(F.col("split"))
     return images.withColumn("drop_reason", drop).withColumn("target_split", split).withColumn("merged_name", N.merged_name(F.col("dataset"), F.col("file_name")))
 
 

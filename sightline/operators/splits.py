@@ -83,7 +83,7 @@ def assign_groups(grouped: DataFrame, seed: str, fractions: tuple[float, float,
     """
     sizes = grouped.groupBy("unit").agg(F.count("*").alias("size"), F.min(id_).alias("first"))
     keyed = sizes.select((-F.col("size")).alias("minus"), F.sha2(F.concat_ws(":", F.lit(seed), "first"), 256).alias("tie"), "unit")
-    listed = keyed.agg(F.sort_array(F.collect_list(F.struct("minus", "tie", "unit"))).alias("gs"), -F.sum("minus").alias("total"))
+    listed = keyed.agg(F.sort_array(F.collect_list(F.struct("minus", "tie", "unit"))).alias("gs"), (-F.sum("minus")).alias("total"))
     share = lambda acc, i: (F.lit(fractions[i]) * F.col("total") - acc["filled"][i]) / (F.lit(fractions[i]) * F.col("total"))
 
     def step(acc: Column, g: Column) -> Column:

@@ -87,7 +87,7 @@ _HASHES = """words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a
 buckets AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, count(*) AS n FROM words GROUP BY ALL),
 cells AS (SELECT d.doc_id, s.b, coalesce(n, 0) AS n FROM (SELECT DISTINCT doc_id FROM buckets) d CROSS JOIN (SELECT unnest(range(64)) AS b) s LEFT JOIN buckets USING (doc_id, b)),
 mids AS (SELECT doc_id, median(n) AS mid FROM cells GROUP BY 1),
-hashes AS (SELECT doc_id, sum(CASE WHEN n > mid THEN 2::HUGEINT ** b::INT ELSE 0 END)::HUGEINT::UBIGINT AS hash FROM cells JOIN mids USING (doc_id) GROUP BY 1),
+hashes AS (SELECT doc_id, sum(CASE WHEN n > mid THEN 1::UBIGINT << b::UBIGINT ELSE 0::UBIGINT END)::UBIGINT AS hash FROM cells JOIN mids USING (doc_id) GROUP BY 1),
 docs AS (
   SELECT d.doc_id, source AS dataset, CASE WHEN d.doc_id % 10 < 7 THEN 'train' WHEN d.doc_id % 10 < 8 THEN 'valid' ELSE 'test' END AS split,
     'd' || d.doc_id || '.jpg' AS file_name, text, coalesce(hash, 0)::UBIGINT AS hash FROM documents d LEFT JOIN hashes USING (doc_id))"""
