@@ -15,7 +15,8 @@ from .test_tokens_and_packing import check_packing
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     rows = [(d_, t, lang, s, len(t) if t is not None else None) for d_, t, lang, s in documents() if d_ is not None]
-    rows += [(200 + i, "Intro. " + prose(7000 + i, 12) + " " + prose(950, 16).upper() + " and more", "en", "s") for i in range(4)]
+    leaks = ["Intro. " + prose(7000 + i, 12) + " " + prose(950, 16).upper() + " and more" for i in range(4)]
+    rows += [(200 + i, t, "en", "s", len(t)) for i, t in enumerate(leaks)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, prose(950, 16)), (2, prose(951, 16))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
