@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE = 1 << 20
+SLICE = 1 << 18
 _R, _R_INV = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q, _Q_INV = U64(0xD6E8FEB86659FD93), U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -100,6 +100,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np
         part = data[offsets[at] : offsets[to]]
         yield at, to - at, _LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at]
         at = to
+    pa.default_memory_pool().release_unused()  # else idle workers keep the largest batch they ever had
 
 
 def columns(*schemas: str):

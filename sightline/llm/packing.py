@@ -44,11 +44,8 @@ class ByteBpe:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.full.no_padding()
-        self.full.no_truncation()
+        self.path, self._full = path, None
         told = json.load(open(path, encoding="utf-8"))
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
         plain = {k: v for k, v in told["model"]["vocab"].items() if k not in special}
@@ -63,6 +60,17 @@ class ByteBpe:
         ranks = {bytes(byte[c] for c in k): v for k, v in plain.items()}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @property
+    def full(self):
+        """The library's own tokenizer, loaded when a text first needs it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.path)
+            self._full.no_padding()
+            self._full.no_truncation()
+        return self._full
+
     def __call__(self, text: str) -> np.ndarray:
         if self.latin(text):
             return self.fast.encode_to_numpy(text, allowed_special="all")
