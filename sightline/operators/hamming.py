@@ -1,40 +1,53 @@
-"""Near-duplicate search on 64-bit hashes within a Hamming distance, as exact banded equi-joins.
+"""Near-duplicate search on 64-bit hashes within a Hamming distance, as exact keyed equi-joins.
 
-Two hashes within d bits agree on at least one of d + 1 disjoint bands of bits, so an equi-join on
-(band, value) finds every pair.  Equal hashes are merged first: a group of copies is one row of
-the join and is only expanded where pairs are asked for.
+Of d + m blocks of bits, two hashes within d bits agree on m at least, so an equi-join on every
+choice of m blocks finds every pair.  With more hashes m rises: keys get longer, and their lists
+stay short.  Equal hashes are merged first: a group of copies is one row of the join and is only
+expanded where pairs are asked for.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BANDED = 15
+from sightline.plans.store import materialize
+
+MAX_DISTANCE, MOST_BLOCKS = 15, 4
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(hash_: Column, d: int) -> Column:
-    """An array of (band, bits) structs; together the d + 1 bands hold all 64 bits."""
-    n = d + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    cut = lambda a, b: F.shiftrightunsigned(hash_, a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1).cast("long"))
-    return F.array(*[F.struct(F.lit(i).alias("band"), cut(a, b).alias("bits")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+def blocks_to_agree(hashes: int, d: int) -> int:
+    """The least m whose keys are long enough to tell that many hashes apart."""
+    for m in range(1, MOST_BLOCKS):
+        if 2 ** (64 * m // (d + m)) >= hashes:
+            return m
+    return MOST_BLOCKS
 
 
-def _posted(df: DataFrame, hash_: str, d: int, name: str) -> DataFrame:
-    distinct = df.select(F.col(hash_).alias(name)).filter(f"{name} is not null").distinct()
-    return distinct.select(name, F.explode(bands(F.col(name), d)).alias("k"))
+def keys(hash_: Column, d: int, m: int = 1) -> Column:
+    """An array of (choice, bits) structs, one for each choice of m of the d + m blocks."""
+    n = d + m
+    edges = [64 * i // n for i in range(n + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    chosen = [sum(masks[i] for i in c) for c in itertools.combinations(range(n), m)]
+    return F.array(*[F.struct(F.lit(i).alias("choice"), hash_.bitwiseAND(F.lit(signed(mask)).cast("long")).alias("bits")) for i, mask in enumerate(chosen)])
 
 
 def near_hashes(left: DataFrame, right: DataFrame, d: int, hash_: str = "hash") -> DataFrame:
     """Distinct (a, b, distance) with a from the left, b from the right and distance <= d."""
-    if d > MAX_BANDED:
-        raise ValueError(f"bands of {64 // (d + 1)} bits don't tell hashes apart; use a smaller distance")
-    found = _posted(left, hash_, d, "a").join(_posted(right, hash_, d, "b"), "k").select("a", "b").withColumn("distance", distance(F.col("a"), F.col("b")))
+    if d > MAX_DISTANCE:
+        raise ValueError(f"keys don't tell hashes apart beyond {MAX_DISTANCE} bits; use a smaller distance")
+    sides = [materialize(df.select(F.col(hash_).alias(n)).filter(f"{n} is not null").distinct(), "hashes") for df, n in ((left, "a"), (right, "b"))]
+    m = blocks_to_agree(max(s.count() for s in sides), d)
+    posted = [s.select(n, F.explode(keys(F.col(n), d, m)).alias("k")) for s, n in zip(sides, ("a", "b"), strict=True)]
+    found = posted[0].join(posted[1], "k").select("a", "b").withColumn("distance", distance(F.col("a"), F.col("b")))
     return found.filter(F.col("distance") <= d).distinct()
 
 
@@ -57,7 +70,7 @@ def near_links(df: DataFrame, d: int, id_: str, hash_: str = "hash") -> DataFram
 def near_any(candidates: DataFrame, protected: DataFrame, d: int, views: str = "views", hash_: str = "hash") -> DataFrame:
     """Candidates of whose view hashes any lies within d bits of a protected hash."""
     hit = near_hashes(candidates.select(F.explode(views).alias(hash_)), protected, d, hash_).select("a").distinct()
-    keyed = candidates.withColumn("_id", F.xxhash64(F.to_json(F.struct(*[c for c in candidates.columns]))))
+    keyed = candidates.withColumn("_id", F.sha2(F.to_json(F.struct(*candidates.columns)), 256))
     near = keyed.select("_id", F.explode(views).alias("a")).join(hit, "a", "left_semi").select("_id").distinct()
     return keyed.join(near, "_id", "left_semi").drop("_id")
 
@@ -79,11 +92,16 @@ def check_no_leak(df: DataFrame, d: int, id_: str) -> None:
         raise SplitLeak(f"{n} rows near a test row, first {found.agg(F.min(id_)).first()[0]}")
 
 
-def exact_groups(df: DataFrame, content: str, id_: str) -> DataFrame:
-    """(sha256, ids) of contents that more than one row holds."""
+def exact_members(df: DataFrame, content: str, id_: str) -> DataFrame:
+    """(sha256, id, first, copies): every row whose content others hold too, and the least id that does."""
     keyed = df.select(F.sha2(F.col(content), 256).alias("sha256"), F.col(id_).alias("id"))
-    shared = keyed.groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(shared.select("sha256"), "sha256").groupBy("sha256").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    shared = keyed.groupBy("sha256").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    return keyed.join(shared, "sha256").select("sha256", "id", "first", "copies")
+
+
+def exact_groups(df: DataFrame, content: str, id_: str) -> DataFrame:
+    """(sha256, ids) as lists, for reports; a group is one row, so use exact_members where groups may be large."""
+    return exact_members(df, content, id_).groupBy("sha256").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def pair_kind(dataset_a: Column, dataset_b: Column, split_a: Column, split_b: Column) -> Column:
@@ -94,6 +112,22 @@ def summarize_pairs(pairs: DataFrame, refs: DataFrame, id_: str) -> DataFrame:
     """(kind, side_a, side_b, n): pairs by kind and by their sides (dataset/split) in order."""
     side = lambda c, k: refs.select(F.col(id_).alias(c), F.col("dataset").alias(f"d{k}"), F.col("split").alias(f"s{k}"))
     both = pairs.join(side("id_a", "a"), "id_a").join(side("id_b", "b"), "id_b")
+    return _by_sides(both.withColumn("n", F.lit(1)))
+
+
+def _by_sides(both: DataFrame) -> DataFrame:
     a, b = F.concat_ws("/", "da", "sa"), F.concat_ws("/", "db", "sb")
-    told = both.select(pair_kind(F.col("da"), F.col("db"), F.col("sa"), F.col("sb")).alias("kind"), F.least(a, b).alias("side_a"), F.greatest(a, b).alias("side_b"))
-    return told.groupBy("kind", "side_a", "side_b").agg(F.count("*").alias("n"))
+    told = both.select(pair_kind(F.col("da"), F.col("db"), F.col("sa"), F.col("sb")).alias("kind"), F.least(a, b).alias("side_a"), F.greatest(a, b).alias("side_b"), "n")
+    return told.groupBy("kind", "side_a", "side_b").agg(F.sum("n").cast("long").alias("n")).filter("n > 0")
+
+
+def count_pairs(df: DataFrame, d: int, hash_: str = "hash") -> DataFrame:
+    """What summarize_pairs tells of near_pairs, from counts by hash and side; no pair of copies is made."""
+    sides = materialize(df.groupBy(F.col(hash_).alias("h"), "dataset", "split").agg(F.count("*").alias("c")).filter("h is not null"), "sides")
+    left, right = (sides.select(F.col("h").alias(h), F.col("dataset").alias(f"d{k}"), F.col("split").alias(f"s{k}"), F.col("c").alias(f"c{k}")) for h, k in (("a", "a"), ("b", "b")))
+    cross = near_hashes(df, df, d, hash_).filter("a < b").join(left, "a").join(right, "b").withColumn("n", F.col("ca") * F.col("cb"))
+    place = lambda k: F.struct(f"d{k}", f"s{k}")
+    same = left.join(right.withColumnRenamed("b", "a"), "a").filter(place("a") <= place("b"))
+    same = same.withColumn("n", F.when(place("a") == place("b"), F.expr("ca * (ca - 1) div 2")).otherwise(F.col("ca") * F.col("cb")))
+    cols = ["da", "sa", "db", "sb", "n"]
+    return _by_sides(cross.select(*cols).union(same.select(*cols)))

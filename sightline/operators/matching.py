@@ -93,12 +93,15 @@ def error_counts(labels: DataFrame, preds: DataFrame, matched: DataFrame, by: tu
 
 
 def confusion_matrix(labels: DataFrame, preds: DataFrame, matched: DataFrame, background: str = "background") -> DataFrame:
-    """(true_label, pred_label, n) with background for what stays alone; empty cells are absent."""
+    """(true_label, pred_label, n) with background for what stays alone; empty cells are absent.
+
+    What stays alone is a class's total less its pairs, so boxes are only counted.
+    """
     pairs = matched.groupBy(F.col("l_label").alias("true_label"), F.col("p_label").alias("pred_label")).agg(F.count("*").alias("n"))
-    missed = labels.join(matched.select("image_id", "label_ix"), ["image_id", "label_ix"], "left_anti")
-    extra = preds.join(matched.select("image_id", "pred_ix"), ["image_id", "pred_ix"], "left_anti")
-    fn = missed.groupBy(F.col("label").alias("true_label")).agg(F.count("*").alias("n")).select("true_label", F.lit(background).alias("pred_label"), "n")
-    fp = extra.groupBy(F.col("label").alias("pred_label")).agg(F.count("*").alias("n")).select(F.lit(background).alias("true_label"), "pred_label", "n")
+    minus = lambda c: pairs.select(F.col(c), (-F.col("n")).alias("n"))
+    alone = lambda boxes, c: boxes.groupBy(F.col("label").alias(c)).agg(F.count("*").alias("n")).union(minus(c)).groupBy(c).agg(F.sum("n").alias("n")).filter("n > 0")
+    fn = alone(labels, "true_label").select("true_label", F.lit(background).alias("pred_label"), "n")
+    fp = alone(preds, "pred_label").select(F.lit(background).alias("true_label"), "pred_label", "n")
     return pairs.unionByName(fn).unionByName(fp)
 
 

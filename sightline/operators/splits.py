@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from sightline.functions import names as N
 from sightline.operators import hamming as H
 from sightline.operators.components import connected_components
+from sightline.plans.store import materialize
 
 SPLITS = ("train", "valid", "test")
 FRACTIONS = (0.7, 0.15, 0.15)
@@ -77,26 +78,28 @@ def temporal_split(frames: DataFrame, buffer: int, least: int, fractions: tuple[
 def assign_groups(grouped: DataFrame, seed: str, fractions: tuple[float, float, float] = FRACTIONS, id_: str = "file_name") -> DataFrame:
     """(unit, size, split): the largest groups first, each to the split furthest below its share.
 
-    The walk depends on all earlier groups, so sizes are walked in runs: every group of a size is
-    ordered by a hash of the seed and its first name.  Only (size, hash, unit) of groups meets in
-    one task, never images.
+    Groups of one size are ordered by a hash of the seed and their first name.  Each choice
+    depends on all earlier ones, so (size, hash, unit) of groups, never of images, streams in
+    order through one task that keeps three counters.
     """
     sizes = grouped.groupBy("unit").agg(F.count("*").alias("size"), F.min(id_).alias("first"))
-    keyed = sizes.select((-F.col("size")).alias("minus"), F.sha2(F.concat_ws(":", F.lit(seed), "first"), 256).alias("tie"), "unit")
-    listed = keyed.agg(F.sort_array(F.collect_list(F.struct("minus", "tie", "unit"))).alias("gs"), (-F.sum("minus")).alias("total"))
-    share = lambda acc, i: (F.lit(fractions[i]) * F.col("total") - acc["filled"][i]) / (F.lit(fractions[i]) * F.col("total"))
-
-    def step(acc: Column, g: Column) -> Column:
-        r = [share(acc, i) for i in range(3)]
-        best = F.when((r[0] >= r[1]) & (r[0] >= r[2]), 0).when(r[1] >= r[2], 1).otherwise(2)
-        filled = F.transform(acc["filled"], lambda v, i: v - F.when(i == best, g["minus"]).otherwise(F.lit(0).cast("long")))
-        return F.struct(filled.alias("filled"), F.array_append(acc["took"], best).alias("took"))
-
-    start = F.struct(F.array(*[F.lit(0).cast("long")] * 3).alias("filled"), F.array().cast("array<int>").alias("took"))
-    took = listed.select("gs", F.aggregate("gs", start, step, lambda acc: acc["took"]).alias("took"))
-    flat = took.select(F.explode(F.arrays_zip("gs", "took")).alias("z"))
-    names = F.array(*[F.lit(s) for s in SPLITS])
-    return flat.select("z.gs.unit", (-F.col("z.gs.minus")).alias("size"), F.get(names, F.col("z.took")).alias("split"))
+    keyed = materialize(sizes.select("unit", "size", F.sha2(F.concat_ws(":", F.lit(seed), "first"), 256).alias("tie")), "groups")
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    goals = [f * total for f in fractions]
+
+    def walk(frames):
+        filled = [0, 0, 0]
+        for frame in frames:
+            took = []
+            for n in frame["size"]:
+                best = max(range(3), key=lambda i: ((goals[i] - filled[i]) / goals[i], -i))
+                filled[best] += int(n)
+                took.append(SPLITS[best])
+            yield frame[["unit", "size"]].assign(split=took)
+
+    ordered = keyed.repartition(1).sortWithinPartitions(F.desc("size"), "tie", "unit")
+    kind = keyed.schema["unit"].dataType.simpleString()
+    return ordered.mapInPandas(walk, f"unit {kind}, size long, split string")
 
 
 def grouped_split(images: DataFrame, pattern: str | None, d: int, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:

@@ -198,14 +198,12 @@ def near_duplicates(spark, d):
     a.dataset || '/' || a.split AS x, b.dataset || '/' || b.split AS y FROM p JOIN docs a ON a.doc_id = id_a JOIN docs b ON b.doc_id = id_b)
 SELECT kind, least(x, y) AS side_a, greatest(x, y) AS side_b, count(*) AS n FROM s GROUP BY ALL""")
 def near_pair_summary(spark, d):
-    docs = _docs(spark, d)
-    return H.summarize_pairs(H.near_pairs(docs, 4, "doc_id"), docs, "doc_id")
+    return H.count_pairs(_docs(spark, d), 4)
 
 
 @query("cross_dataset_pairs", f"WITH {S.SQL['docs']}, p AS ({NEAR}) SELECT count(*) AS pairs FROM p JOIN docs a ON a.doc_id = id_a JOIN docs b ON b.doc_id = id_b WHERE a.dataset <> b.dataset")
 def cross_dataset_pairs(spark, d):
-    docs = _docs(spark, d)
-    return H.summarize_pairs(H.near_pairs(docs, 4, "doc_id"), docs, "doc_id").filter("kind = 'cross_dataset'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return H.count_pairs(_docs(spark, d), 4).filter("kind = 'cross_dataset'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
 @query("near_test", f"WITH {S.SQL['docs']} SELECT doc_id, split FROM docs a WHERE split <> 'test' AND EXISTS (SELECT 1 FROM docs b WHERE b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 4)")
@@ -221,9 +219,9 @@ def near_any(spark, d):
     return H.near_any(docs.filter("dataset <> 'src0'").withColumn("views", views), docs.filter("dataset = 'src0'"), 4).select("doc_id")
 
 
-@query("exact_duplicates", "SELECT sha256(text) AS sha256, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1")
+@query("exact_duplicates", "SELECT sha256(text) AS sha256, doc_id, min(doc_id) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS copies FROM documents QUALIFY copies > 1")
 def exact_duplicates(spark, d):
-    return H.exact_groups(S.table(spark, d, "documents"), "text", "doc_id").select("sha256", F.array_join("ids", ",").alias("ids"))
+    return H.exact_members(S.table(spark, d, "documents"), "text", "doc_id").withColumnRenamed("id", "doc_id")
 
 
 #: Documents as images of one recording each: relatedness by equal text and by near hashes.

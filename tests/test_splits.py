@@ -31,6 +31,27 @@ def test_banded_pairs_equal_brute_force(spark):
         hamming.near_pairs(df, 20, "file_name")
 
 
+def test_longer_keys_find_the_same_pairs(spark):
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    values += [v ^ sum(1 << k for k in rng.sample(range(64), 4)) for v in values]
+    df = near(spark, [(str(i), signed(v)) for i, v in enumerate(values)])
+    want = {(signed(a), signed(b)) for a in values for b in values if (a ^ b).bit_count() <= 4}
+    for m in (1, 2, 3, 4):
+        posted = [df.select(hamming.F.col("hash").alias(n), hamming.F.explode(hamming.keys(hamming.F.col("hash"), 4, m)).alias("k")) for n in "ab"]
+        found = posted[0].join(posted[1], "k").select("a", "b").distinct().filter("bit_count(a ^ b) <= 4")
+        assert {tuple(r) for r in found.collect()} == want
+    assert [hamming.blocks_to_agree(n, 4) for n in (1000, 10**6, 10**8, 10**12)] == [1, 2, 3, 4]
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("xy"), rng.choice(["train", "test"]), rng.choice([0, 1, 3, 1 << 40, 7 << 20])) for i in range(80)] + [(99, "x", "train", None)]
+    df = spark.createDataFrame(rows, "id int, dataset string, split string, hash long")
+    get = lambda f: {(r["kind"], r["side_a"], r["side_b"]): r["n"] for r in f.collect()}
+    assert get(hamming.count_pairs(df, 1)) == get(hamming.summarize_pairs(hamming.near_pairs(df, 1, "id"), df, "id"))
+
+
 def test_copies_are_linked_but_not_expanded(spark):
     df = near(spark, [(f"f{i:04d}", 5 if i < 300 else i * 977) for i in range(320)])
     links = hamming.near_links(df, 0, "file_name")
