@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sightline.functions import geometry as G
+from sightline.plans.store import materialize
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 
@@ -112,7 +113,7 @@ def false_positive_kinds(labels: DataFrame, preds: DataFrame, iou: float, floor:
     little; inside_unscored: its center lies in a box of a class that isn't scored; else background.
     """
     own, mine = restrict(labels, [scored]), restrict(preds, [scored])
-    matched = match_boxes(own, mine, iou)
+    matched = materialize(match_boxes(own, mine, iou), "matched")
     extra = mine.join(matched.select("image_id", "pred_ix"), ["image_id", "pred_ix"], "left_anti")
     taken = own.join(matched.select("image_id", "label_ix", F.lit(True).alias("taken")), ["image_id", "label_ix"], "left")
     near = extra.select("image_id", "pred_ix", *CORNERS).join(taken.select("image_id", "taken", *[F.col(c).alias(f"l_{c}") for c in CORNERS]), "image_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from sightline.functions import geometry as G
 from sightline.operators import matching as M
+from sightline.plans.store import materialize
 
 BINS = 1024
 
@@ -67,7 +68,7 @@ def average_precision(labels: DataFrame, preds: DataFrame, ious: list[float], ar
     resampled or sliced rows.
     """
     by = list(by)
-    facts = facts if facts is not None else score_order(labels, preds, ious, area)
+    facts = materialize(facts if facts is not None else score_order(labels, preds, ious, area), "facts")  # read four times below
     if totals is None:
         kept = labels.filter((G.area(G.box()) >= area[0]) & (G.area(G.box()) < area[1])) if area else labels
         totals = kept.groupBy("label").agg(F.count("*").alias("n"))

@@ -31,12 +31,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, pred_ix, label, conf, x1, y1, x2, y2)."""
-    gt = labels(spark, sf_dir)
-    flip = "case when pk % 13 = 0 then (case label when 'fuel' then 'robot' else 'fuel' end) else label end label"
-    a = gt.filter("pk % 11 <> 0").selectExpr("image_id", "label_ix * 10 pred_ix", flip, "x + (pk % 5) * w / 20 x1", "y + (sk % 4) * h / 20 y1", "w", "h", "(50 + (pk * 7919 + sk * 104729 + label_ix * 31) % 950) / 1000 conf")
-    b = gt.filter("pk % 6 = 0").selectExpr("image_id", "label_ix * 10 + 1 pred_ix", "label", "x + (sk % 6) * w / 10 x1", "y y1", "w", "h", "(10 + (pk * 31 + sk * 17 + label_ix * 7) % 700) / 1000 conf")
-    c = gt.filter("sk % 7 = 0").selectExpr("image_id", "label_ix * 10 + 2 pred_ix", "label", "x + 2 * w x1", "y + 1.5D * h y1", "w", "h", "(10 + (pk * 13 + sk * 29 + label_ix * 3) % 900) / 1000 conf")
-    return a.unionByName(b).unionByName(c).selectExpr("image_id", "pred_ix", "label", "cast(conf as double) conf", "x1", "y1", "x1 + w x2", "y1 + h y2")
+    flip = "case when pk % 13 = 0 then (case label when 'fuel' then 'robot' else 'fuel' end) else label end"
+    made = lambda when, ix, label, x1, y1, conf: F.expr(f"case when {when} then named_struct('pred_ix', label_ix * 10 + {ix}, 'label', {label}, 'conf', cast(({conf}) / 1000 as double), 'x1', cast({x1} as double), 'y1', cast({y1} as double)) end")
+    three = F.array_compact(F.array(
+        made("pk % 11 <> 0", 0, flip, "x + (pk % 5) * w / 20", "y + (sk % 4) * h / 20", "50 + (pk * 7919 + sk * 104729 + label_ix * 31) % 950"),
+        made("pk % 6 = 0", 1, "label", "x + (sk % 6) * w / 10", "y", "10 + (pk * 31 + sk * 17 + label_ix * 7) % 700"),
+        made("sk % 7 = 0", 2, "label", "x + 2 * w", "y + 1.5D * h", "10 + (pk * 13 + sk * 29 + label_ix * 3) % 900"),
+    ))
+    rows = labels(spark, sf_dir).select("image_id", "w", "h", F.explode(three).alias("p"))
+    return rows.selectExpr("image_id", "p.pred_ix", "p.label", "p.conf", "p.x1", "p.y1", "p.x1 + w x2", "p.y1 + h y2")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
