@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.plans.store import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
@@ -66,24 +68,37 @@ def _array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def idf(docs: DataFrame) -> dict[str, float]:
+def read_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, present, ws), read once: the licence words of every file, and all words of candidates.
+
+    A file is a candidate if it has all words of some key phrase; the phrase can't stand elsewhere.
+    """
+    rows = docs.select("doc_id", words_of().alias("ws")).select("doc_id", "ws", F.array_intersect("ws", _array(VOCABULARY)).alias("present"))
+    candidate = F.lit(False)
+    for key in sorted({tuple(key) for _, _, _, key, _, _ in _all_templates()}):
+        candidate = candidate | (F.size(F.array_except(_array(list(key)), "present")) == 0)
+    empty = F.array().cast("array<string>")
+    return materialize(rows.select("doc_id", F.size("ws").cast("long").alias("n_words"), "present", F.when(candidate, F.col("ws")).otherwise(empty).alias("ws")), "words")
+
+
+def idf(rows: DataFrame) -> dict[str, float]:
     """ln((documents + 1) / (documents with the word + 1)) of each template word, over all rows."""
-    seen = docs.select(F.explode(F.array_intersect(words_of(), _array(VOCABULARY))).alias("w")).groupBy("w").count().collect()
-    df, n = {r["w"]: r["count"] for r in seen}, docs.count()
+    seen = rows.select(F.explode("present").alias("w")).groupBy("w").count().collect()
+    df, n = {r["w"]: r["count"] for r in seen}, rows.count()
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weight = idf(docs)
+    rows = read_words(docs)
+    weight = idf(rows)
     found = []
     anchors: list[str] = []
     for label, words, at, key, least, base in _all_templates():
         rare = max(range(len(key)), key=lambda i: (weight[key[i]], -i))
         anchors.append(key[rare])
         found.append((label, words, at, key, least, base, rare))
-    rows = docs.select("doc_id", words_of().alias("ws"))
     rows = rows.withColumn("hot", F.size(F.array_intersect("ws", _array(sorted(set(anchors))))) > 0)
     places = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.array_contains(_array(sorted(set(anchors))), F.get("ws", i)))
     rows = rows.withColumn("ps", F.when(F.col("hot"), places).otherwise(F.array().cast("array<int>")))
@@ -109,7 +124,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     told = [F.struct(F.lit(label).alias("label"), F.lit(base).alias("base"), hits(words, at, key, least, rare).alias("hits")) for label, words, at, key, least, base, rare in found]
     kind = "array<struct<label:string,base:boolean,hits:array<struct<s:int,share:double>>>>"
     live = F.filter(F.array(*told), lambda t: F.size(t["hits"]) > 0)
-    rows = rows.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.size("ps") > 0, live).otherwise(F.array().cast(kind)).cast(kind).alias("live"))
+    rows = rows.select("doc_id", "n_words", F.when(F.size("ps") > 0, live).otherwise(F.array().cast(kind)).cast(kind).alias("live"))
     base = F.filter("live", lambda t: t["base"])
     starts = F.flatten(F.transform(base, lambda t: F.transform(t["hits"], lambda h: h["s"])))
     rows = rows.withColumn("starts", starts)
