@@ -75,8 +75,10 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, int]:
         """Language, score, and bytes saved over the second language."""
-        raw = letters(text) if text else b""
-        if not raw or not self.names:
+        if not text or not self.names or not any(map(str.isalpha, text)):
+            return "und", 0.0, 0
+        raw = letters(text)
+        if not raw:
             return "und", 0.0, 0
         if len(raw) < SHORT_BYTES:  # else it would be stored uncompressed, alike for all dictionaries
             raw = b" ".join([raw] * 6)
