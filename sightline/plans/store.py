@@ -6,6 +6,8 @@ loses them.  Only where that setting is absent (tests, notebooks) is a temporary
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, without a trailing slash."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="sightline-")
+        own = tempfile.mkdtemp(prefix="sightline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        configured = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
