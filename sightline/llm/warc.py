@@ -144,7 +144,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shar
     first = light.filter("page_id is not null").groupBy("digest", "n").agg(F.max("page_id").alias("refers"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "refers")
     links = light.join(first, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers", F.lit(False).alias("is_page")).distinct()
     both = pages.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers"), F.lit(True).alias("is_page")).unionByName(links).withColumn("shard", shard.cast("int"))
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page")
+    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page")
     return materialize(dealt.mapInArrow(_writer(folder, roll_bytes, stamp), MANIFEST), "manifest")
 
 
