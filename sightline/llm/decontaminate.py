@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 
-ERRORS, MIN_CHARS, SLICE_CHARS = 0.06, 24, 2_000_000
+ERRORS, MIN_CHARS, SLICE_CHARS = 0.07, 24, 2_000_000
 _gaps = re.compile(r"[\W_]+")
 
 
