@@ -83,8 +83,16 @@ class Segmenter:
 
 
 def _frequent(words: DataFrame, n: int, *sums: Column) -> list:
-    counted = words.groupBy("word").agg(F.count("*").alias("n"), *sums)
-    return counted.orderBy(F.desc("n"), "word").limit(n).collect()
+    """Counts of the most frequent words, at most n: those above the least count bin that keeps to n."""
+    counted = materialize(words.groupBy("word").agg(F.count("*").alias("n"), *sums).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "counts")
+    left, least = n, None
+    for r in sorted(counted.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # a few hundred bins
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["bin"]
+    if least is None:  # even the most frequent words are too many
+        return counted.orderBy(F.desc("n"), "word").limit(n).collect()
+    return counted.filter(F.col("bin") >= least).collect()
 
 
 def filter_urls(pages: DataFrame, rules=RULES, model_words: int = MODEL_WORDS) -> DataFrame:
