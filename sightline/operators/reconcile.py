@@ -69,3 +69,32 @@ def select_runs(runs: DataFrame, key: list[str], created: str = "created", dir_:
     """The newest clean, whole run of each key; the first folder wins a tie."""
     usable = runs.filter("not dirty and not sliced")
     return usable.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(created), dir_))).filter("_n = 1").drop("_n")
+
+
+class NotReady(ValueError):
+    """A dataset isn't fit to be handed over."""
+
+
+def check_before_upload(images: DataFrame, reported: DataFrame, field: DataFrame | None, d: int) -> dict[str, int]:
+    """Split sizes of (split, file_name, sha256, hash); raises where they aren't as reported, where names or
+    contents repeat, or where an image is near a field-test hash."""
+    from sightline.operators.hamming import near_hashes
+
+    sizes = images.groupBy("split").agg(F.count("*").alias("n"))
+    if wrong := compare_sizes(reported, sizes).orderBy("split").collect():
+        raise NotReady("; ".join(f"{r['split']} has {r['reported']}, the report says {r['expected']}" for r in wrong))
+    check_keys(images)
+    copies = images.groupBy("sha256").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+    if copies:
+        raise NotReady(f"{copies} images are byte-identical to another image")
+    if field is not None and (n := near_hashes(images, field, d).count()):
+        raise NotReady(f"{n} pairs of hashes match the field test")
+    return {r["split"]: r["n"] for r in sizes.collect()}
+
+
+def check_rescore(metrics: dict, meta: dict, model: str, dataset: str, split: str) -> bool:
+    """Whether an earlier run, whose predictions are scored again, was dirty; raises if it scored something else."""
+    had = tuple(metrics.get(k) for k in ("model", "dataset", "split"))
+    if had != (model, dataset, split):
+        raise NotReady(f"the earlier run scored {had}, not {(model, dataset, split)}")
+    return bool(meta["git"]["dirty"] or meta.get("source_dirty", False))

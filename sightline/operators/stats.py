@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sightline.functions import geometry as G
+from sightline.functions import names as N
 
 DROP = "DROP"
 
@@ -98,3 +99,18 @@ def sheet_picks(images: DataFrame, boxes: DataFrame, n: int) -> DataFrame:
     one = told.withColumn("k", F.row_number().over(W.partitionBy("dataset", "kind", "source_name").orderBy(*order))).filter("k = 1")
     rank = F.row_number().over(W.partitionBy("dataset", "kind").orderBy(*order))
     return one.withColumn("rank", rank).filter(F.col("rank") <= n).select("dataset", "kind", "file_name", "rank")
+
+
+def grid_order(images: DataFrame, n: int, seed: str, exclude_files: tuple[str, ...] = (), exclude_pattern: str | None = None) -> DataFrame:
+    """(dataset, split, file_name, place) of the n images a sample grid shows of each dataset.
+
+    All images are ordered by a hash of the seed and their name before any is left out, so leaving
+    one out brings in the next and moves no other.
+    """
+    ref = F.concat_ws("/", "dataset", "split", "file_name")
+    hashed = images.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), ref), 256))
+    kept = hashed.filter(~F.col("file_name").isin(list(exclude_files))) if exclude_files else hashed
+    if exclude_pattern is not None:
+        kept = kept.filter(~N.matches(F.col("source_name"), exclude_pattern))
+    place = F.row_number().over(W.partitionBy("dataset").orderBy("_h", "split", "file_name"))
+    return kept.withColumn("place", place).filter(F.col("place") <= n).select("dataset", "split", "file_name", "place")

@@ -9,6 +9,7 @@ from sightline.config import ConfigError, Project, SplitMethod
 from sightline.functions import names as N
 from sightline.operators import bootstrap, hamming, matching, merge, metrics, splits, stats
 from sightline.plans.store import materialize
+from sightline.sources import files
 
 SIZES = {"small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, float("inf"))}
 COCO_IOUS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
@@ -143,3 +144,25 @@ def intervals(labels: DataFrame, preds: DataFrame, units: DataFrame, confidence:
     ap = bootstrap.average_precisions(metrics.score_order(labels, preds, [iou]), labels, units, drawn)
     both = recall.select("label", F.lit("recall").alias("metric"), F.col("recall").alias("v")).union(ap.select("label", F.lit("map50"), "ap"))
     return bootstrap.percentile_interval(both, "v", level, ["label", "metric"])
+
+
+def evaluate(images: DataFrame, labels: DataFrame, preds: DataFrame, pred_images: DataFrame, units: DataFrame, labeled: list[str], trained: list[str], project: Project) -> dict[str, DataFrame]:
+    """All reports of one run: the scored classes are limited first, then aligned, then the edge rule holds.
+
+    Images have (image_id, width, height), units (image_id, unit).
+    """
+    cfg = project.evaluate
+    scored = [c for c in labeled if c in trained]
+    if not scored:
+        raise ConfigError(f"the dataset labels {labeled} but the model knows {trained}")
+    own = matching.top_k(preds.filter(F.col("conf") >= cfg.confidence_floor), cfg.predictions_per_image, scored)
+    own = files.align(images, pred_images, own)
+    limit = matching.per_image_limit(own, cfg.predictions_per_image, cfg.confidence)
+    there = matching.restrict(labels, scored)
+    if cfg.edge is not None and (edge := [c for c in cfg.edge.classes if c in scored]):
+        there, own = matching.ignore_at_edge(there, own, images, edge, cfg.edge.tolerance_px, cfg.edge.min_overlap, cfg.iou)
+    there, own = materialize(there, "labels"), materialize(own, "preds")
+    out = score(there, own, scored, cfg.confidence, cfg.iou, cfg.curve.values)
+    names = [r[0] for r in units.select("unit").distinct().collect()]
+    drawn = bootstrap.draw(images.sparkSession, names, cfg.resamples, project.seed)
+    return out | {"per_image_limit": limit, "units": matching.unit_counts(units, there), "intervals": intervals(there, own, units, cfg.confidence, drawn, cfg.level, cfg.iou)}

@@ -599,3 +599,36 @@ QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY
 def select_runs(spark, d):
     runs = S.table(spark, d, "orders").selectExpr("o_orderpriority model", "o_orderstatus dataset", "o_orderkey dir", "date_format(o_orderdate, 'yyyy-MM-dd') created", "o_custkey % 5 = 0 dirty", "o_orderkey % 3 = 0 sliced")
     return R.select_runs(runs, ["model", "dataset"]).select("model", "dataset", "dir", "created")
+
+
+@query("grid_order", f"""WITH {COPIES} SELECT dataset, split, file_name, row_number() OVER (PARTITION BY dataset ORDER BY sha256('2026:' || dataset || '/' || split || '/' || file_name), split, file_name)::INT AS place
+FROM im WHERE NOT regexp_matches(source_name, '^s1') QUALIFY place <= 16""")
+def grid_order(spark, d):
+    return ST.grid_order(_copy_images(spark, d), 16, "2026", exclude_pattern="s1")
+
+
+@query("sheet_picks", f"""WITH {COPIES}, n AS (SELECT image_id, count(*) AS n FROM gt GROUP BY 1), r AS (SELECT im.*, coalesce(n, 0) AS n FROM im LEFT JOIN n USING (image_id)),
+k AS (SELECT image_id, 'label ' || label AS kind FROM gt GROUP BY ALL UNION ALL SELECT image_id, CASE WHEN n = 0 THEN 'zero' ELSE 'dense' END FROM r),
+o AS (SELECT dataset, kind, file_name, source_name, CASE WHEN kind = 'dense' THEN -n ELSE 0 END AS w FROM r JOIN k USING (image_id)),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY dataset, kind, source_name ORDER BY w, file_name) = 1)
+SELECT dataset, kind, file_name, row_number() OVER (PARTITION BY dataset, kind ORDER BY w, file_name)::INT AS rank FROM f QUALIFY rank <= 12""".replace("\nk AS (SELECT image_id", "\nkk AS (SELECT image_id").replace("JOIN k USING", "JOIN kk USING"))
+def sheet_picks(spark, d):
+    return ST.sheet_picks(_copy_images(spark, d), _gt(spark, d), 12)
+
+
+def _sized_ap_sql(lo: float, hi: float) -> str:
+    area = lambda a: f"(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) >= {lo} AND ({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) < {hi})"
+    pairs = PAIRS.replace("p.conf,", f"p.conf, NOT {area('l')} AS out,")
+    walk = S.greedy_sql("m", f"SELECT * FROM ({pairs} WHERE l.label = p.label) WHERE iou >= 0.5", "image_id, l_label", "conf DESC, pred_ix, out, iou DESC, label_ix")
+    return f"""WITH RECURSIVE {S.SQL['pd']}, {walk}, f AS (
+  SELECT p.label, p.conf, p.image_id, p.pred_ix, CASE WHEN m.pred_ix IS NULL THEN 0 ELSE 1 END AS tp FROM pd p LEFT JOIN m ON m.image_id = p.image_id AND m.pred_ix = p.pred_ix
+  WHERE CASE WHEN m.pred_ix IS NULL THEN {area('p')} ELSE NOT m.out END
+), c AS (SELECT *, sum(tp) OVER w AS ctp, count(*) OVER w AS cn FROM f WINDOW w AS (PARTITION BY label ORDER BY conf DESC, image_id, pred_ix ROWS UNBOUNDED PRECEDING)
+), h AS (SELECT *, max(ctp / cn) OVER (PARTITION BY label ORDER BY conf, image_id DESC, pred_ix DESC ROWS UNBOUNDED PRECEDING) AS hull FROM c
+), n AS (SELECT label, count(*) AS n FROM gt l WHERE {area('l')} GROUP BY 1)
+SELECT label, 0.5::DOUBLE AS iou_at, round(sum(hull * (ctp * 100 // n - (ctp - 1) * 100 // n + CASE WHEN ctp = 1 THEN 1 ELSE 0 END)) / 101, 6) AS ap FROM h JOIN n USING (label) WHERE tp = 1 GROUP BY ALL"""
+
+
+@query("average_precision_by_size", _sized_ap_sql(1024.0, 9216.0))
+def average_precision_by_size(spark, d):
+    return X.average_precision(_gt(spark, d), _pd(spark, d, None), [0.5], (1024.0, 9216.0)).select("label", "iou_at", X.round6("ap").alias("ap"))

@@ -8,7 +8,9 @@ import subprocess
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def rounded(value, decimals: int = 3):
@@ -77,3 +79,26 @@ class Redactor:
     def filter(self, record) -> bool:
         record.msg, record.args = self(record.getMessage()), ()
         return True
+
+
+def _numbers(text: Column) -> Column:
+    """Decimals and percentages that stand alone."""
+    return F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d+(?:\.\d+)?%|\d+\.\d+)(?![\w.]*\d)"), F.lit(1))
+
+
+def unsourced_numbers(docs: DataFrame, sources: DataFrame, ignore: str = "numbers: ok") -> DataFrame:
+    """(path, line, number) of decimals and percentages in documents that no source holds.
+
+    Both tables have (path, line, text).  Fenced blocks, inline code, links, comments, versions and
+    marked lines are left out.
+    """
+    bare = F.trim("text")
+    fence = F.startswith(bare, F.lit("```")) | F.startswith(bare, F.lit("~~~"))
+    inside = F.sum(fence.cast("int")).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)) % 2 == 1
+    rows = docs.withColumn("skip", fence | inside | F.contains("text", F.lit(ignore)) | F.startswith(bare, F.lit("<!--"))).filter("not skip")
+    text = F.col("text")
+    for pattern in (r"\]\([^)]*\)|https?://\S+", r"`[^`]*`", r"\bv?\d+\.\d+\.\d+\b"):
+        text = F.regexp_replace(text, pattern, "")
+    found = rows.select("path", "line", F.explode(_numbers(text)).alias("number"))
+    known = sources.select(F.explode(_numbers(F.col("text"))).alias("number")).distinct()
+    return found.join(known, "number", "left_anti").select("path", "line", "number")
