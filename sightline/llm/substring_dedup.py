@@ -182,13 +182,16 @@ class FingerprintIndex:
         return self.postings().groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text); kept_text is null where nothing goes.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of ``docs``; kept_text is null where nothing goes.
 
-    The table is indexed in ``batches`` ranges of ids, each a run of its own.
+    The table is indexed in ``batches`` ranges of ids, each a run of its own.  To go on with a
+    later batch, give the index again and, as ``history``, the documents it holds: only those
+    that share an anchor with the batch are opened, and only the batch is judged.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = plain(docs)
     index = index or FingerprintIndex(spark)
     run, schema = _scan(window, gram)
     base = materialize(text.mapInArrow(run, schema), "scan")
@@ -199,8 +202,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     edges = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1] if low is not None else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         index.append(held.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
-    suspects = index.postings().join(index.shared(), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    squeezed = text.filter("doc_id is not null").mapInArrow(_blobs, "doc_id long, seq string, blob binary")
+    shared = index.shared() if history is None else index.shared().join(held.select("anchor"), "anchor", "left_semi")
+    suspects = index.postings().join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    every = text if history is None else text.union(plain(history))
+    squeezed = every.filter("doc_id is not null").mapInArrow(_blobs, "doc_id long, seq string, blob binary")
     opened = materialize(suspects.join(squeezed, "doc_id"), "suspects")
     run, schema = _verified(window, gram)
     found = opened.mapInArrow(run, schema)

@@ -97,6 +97,16 @@ def test_substring_dedup_equals_brute_force(docs):
                 assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_batches_into_one_index_equal_the_whole_table(spark, docs):
+    index, want = substring_dedup.FingerprintIndex(spark, max_runs=2), brute_substrings([(r[0], r[1]) for r in documents()], 50)
+    got, cuts = {}, [0, 30, 62, 73, 1000]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        batch = docs.filter(f"doc_id >= {a} and doc_id < {b}")
+        rows = substring_dedup.substring_dedup(batch, batches=1, index=index, history=docs.filter(f"doc_id < {a}")).collect()
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows}
+    assert got == want and len(index.runs) <= 2
+
+
 def test_substring_dedup_of_nothing(no_docs):
     assert substring_dedup.substring_dedup(no_docs).collect() == []
 
