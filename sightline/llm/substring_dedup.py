@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 from sightline.plans.store import fresh_path, materialize
+from sightline.sources import files
 
 WINDOW, GRAM = 50, 10
 
@@ -151,10 +152,20 @@ def _removed(window: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, doc_id) postings below one folder."""
+    """Sorted immutable runs of (anchor, doc_id) postings below one folder, named by its manifest.
+
+    The manifest is written anew and renamed into place after each change, so a run counts only
+    once it is whole, and an index can be opened again by its path.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 4):
         self.spark, self.path, self.max_runs, self.runs = spark, path or fresh_path(spark, "index"), max_runs, []
+        if path and files.list_files(spark, f"{path}/manifest.txt"):
+            self.runs = [r["value"] for r in spark.read.text(f"{path}/manifest.txt").collect()]
+
+    def _commit(self, runs: list[str]) -> None:
+        files.write_lines(self.spark.createDataFrame(list(enumerate(runs)), "at int, line string"), ["at"], f"{self.path}/manifest.txt")
+        self.runs = runs
 
     def _write(self, postings: DataFrame) -> str:
         run = f"{self.path}/run-{uuid.uuid4().hex}"
@@ -163,7 +174,7 @@ class FingerprintIndex:
 
     def append(self, postings: DataFrame) -> None:
         """The postings of one batch become one run; too many runs are merged into one."""
-        self.runs.append(self._write(postings.select("anchor", "doc_id")))
+        self._commit([*self.runs, self._write(postings.select("anchor", "doc_id"))])
         if len(self.runs) > self.max_runs:
             self.compact()
 
@@ -175,7 +186,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Old runs stay on disk until the folder is dropped, so running readers are not disturbed."""
         if len(self.runs) > 1:
-            self.runs = [self._write(self.postings().distinct())]
+            self._commit([self._write(self.postings().distinct())])
 
     def shared(self) -> DataFrame:
         """Anchors that more than one document holds."""

@@ -120,6 +120,8 @@ def test_index_runs_are_sorted_merged_and_compacted(spark):
     shared = {r[0] for r in index.shared().collect()}
     index.compact()
     assert len(index.runs) == 1 and {r[0] for r in index.shared().collect()} == shared == set(range(8))
+    again = substring_dedup.FingerprintIndex(spark, index.path)
+    assert again.runs == index.runs and again.postings().count() == 40
 
 
 @settings(max_examples=60, deadline=None)
