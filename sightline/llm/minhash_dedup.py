@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 from sightline.operators.components import connected_components
-from sightline.plans.store import materialize
+from sightline.plans.store import bounded, materialize
 
 COORDS, MATCHES, SHORT, BLOCK, BROADCAST_IDS = 64, 38, 32, 1024, 1_000_000
 _FACTORS = K.mix(np.arange(1, 2 * COORDS + 1, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, short: int =
     found = connected_components(links)
     if some:
         now = long_lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+        mixed = bounded(now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"), "mixed", BROADCAST_IDS)
         dealt = _blocks(now.join(mixed, "token").join(blobs, "doc_id"), block, "tokens", "rare", "often", "comp", "blob")
         more = materialize(dealt.groupBy("token", "i", "j").applyInArrow(_joining(k, percent, MATCHES), "src long, dst long"), "joining")
         if more.limit(1).count():
