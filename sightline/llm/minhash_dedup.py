@@ -4,7 +4,7 @@
   represented by the least id; only representatives go on.
 * A signature has ``COORDS`` min-hash coordinates.  Each (coordinate, value) pair is a token, and
   documents are posted under their tokens.  Two documents are candidates when at least
-  ``MATCHES`` tokens collide.  At similarity 0.8 a pair misses that with a chance of about 1e-5.
+  ``MATCHES`` tokens collide.  At similarity 0.8 a pair misses that with a chance of 4e-5, at 0.82 of 6e-6.
 * Skipping: a token that only one document holds can't collide, so documents with fewer than
   ``MATCHES`` other tokens drop out.  Prefix: of the tokens in order of (frequency, token), two
   candidates share one of the first COORDS - MATCHES + 1, so only those are posted.
