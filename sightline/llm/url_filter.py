@@ -6,8 +6,9 @@
   unigram model; unknown words cost more with every letter.
 * Multinomial naive Bayes, fitted on the rows that rules decide, judges the others.
 
-Both models keep the most frequent ``MODEL_WORDS`` words, which bounds what is broadcast; the
-counts themselves cover all rows.
+Both models are whole and nothing of them is broadcast: the unigram counts are joined to the
+substrings of each distinct run of letters, the naive Bayes weights to the words of each distinct
+run, and runs to the pages that hold them, by sorted joins.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged by the
 method; without any decided row the method allows; ties allow; repeated rows are judged alike; a
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sightline.llm import kernels as K
 from sightline.plans.store import materialize
 
-MODEL_WORDS, LONGEST = 50_000, 24
+LONGEST, CHUNK = 24, 50_000
 #: verdict, host, path prefix, as shown in the result.
 RULES = [("allow", "org", "/", "org/"), ("block", "example.org", "/es/", "example.org/es/"), ("block", "example.org", "/en/1", "example.org/en/1"), ("allow", "com", "/fr/", "com/fr/"), ("block", "com", "/de/", "com/de/")]
 _runs = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
@@ -54,15 +54,14 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Most likely split of a run of letters under a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: -math.log(c / self.total) for w, c in counts.items()}
-        self.split = lru_cache(maxsize=100_000)(self._split)
 
     def _word(self, word: str) -> float:
         return self.cost.get(word, math.log(self.total) + math.log(10.0) * len(word))
 
-    def _split(self, run: str) -> tuple[str, ...]:
+    def split(self, run: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for i in range(1, len(run) + 1):
             cost, at = min((best[j] + self._word(run[j:i]), j) for j in range(max(0, i - LONGEST), i))
@@ -74,66 +73,88 @@ class Segmenter:
             i = back[i]
         return tuple(reversed(words))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        out = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
-            for run in _runs.findall(text):
-                out += [mark + "#"] if run[0].isdigit() else [mark + w for w in self.split(run)]
-        return out
 
+def marked_runs(host: str, path: str) -> list[str]:
+    """Runs of letters, marked by where they are, in order; a run of digits is a ``#``."""
+    return [mark + ("#" if run[0].isdigit() else run) for mark, text in (("h:", host), ("p:", path.lower())) for run in _runs.findall(text)]
 
-def _frequent(words: DataFrame, n: int, *sums: Column) -> list:
-    """Counts of the most frequent words, at most n: those above the least count bin that keeps to n."""
-    counted = materialize(words.groupBy("word").agg(F.count("*").alias("n"), *sums).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "counts")
-    left, least = n, None
-    for r in sorted(counted.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # a few hundred bins
-        if r["count"] > left:
-            break
-        left, least = left - r["count"], r["bin"]
-    if least is None:  # even the most frequent words are too many
-        return counted.orderBy(F.desc("n"), "word").limit(n).collect()
-    return counted.filter(F.col("bin") >= least).collect()
 
+def _with_runs(batches):
+    for batch in batches:
+        runs = [marked_runs(h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+        yield batch.append_column("runs", pa.array(runs, pa.list_(pa.string())))
 
-def filter_urls(pages: DataFrame, rules=RULES, model_words: int = MODEL_WORDS) -> DataFrame:
+
+def _substrings(batches):
+    """(id, word) of the distinct substrings of each run that the unigram model may know."""
+    for batch in batches:
+        ids, words = [], []
+        for i, marked in zip(batch["id"].to_pylist(), batch["marked"].to_pylist(), strict=True):
+            run = marked[2:]
+            own = {run[a : a + n] for a in range(len(run)) for n in range(2, min(LONGEST, len(run) - a) + 1)}
+            ids += [i] * len(own)
+            words += own
+            if len(ids) >= CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+                ids, words = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+
+
+def _cut(total: int):
+    def run(batches):
+        for batch in batches:
+            words = []
+            for marked, known in zip(batch["marked"].to_pylist(), batch["known"].to_pylist(), strict=True):
+                cut = ("#",) if marked[2:] == "#" else Segmenter({k["word"]: k["n"] for k in known or ()}, total).split(marked[2:])
+                words.append([marked[:2] + w for w in cut])
+            yield batch.drop_columns(["known"]).append_column("words", pa.array(words, pa.list_(pa.string())))
+
+    return run
+
+
+def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block, words) of every row of (page_id, url)."""
-    spark = pages.sparkSession
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of().alias("host"), path_of().alias("path"))
     shown, told = rule_of(rules)
-    base = base.select("page_id", "host", "path", shown.alias("rule"), told.alias("told"))
-    seen_text = [F.lower(path_of())] + ([F.lower(F.regexp_replace("html", "<[^>]*>", " "))] if "html" in pages.columns else [])
-    runs = pages.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", *seen_text), F.lit("(?<![a-z])([a-z]{2,24})(?![a-z])"), F.lit(1))).alias("word"))
-    unigrams = spark.sparkContext.broadcast({r["word"]: r["n"] for r in _frequent(runs, model_words)})
-    kept = "page_id long, host string, path string, rule string, told string"
-    schema = pa.schema([*K.columns(kept), ("words", pa.list_(pa.string()))])
+    base = base.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", shown.alias("rule"), told.alias("told"))
+    rows = materialize(base.mapInArrow(_with_runs, "row long, page_id long, host string, path string, rule string, told string, runs array<string>"), "urls")
+    slots = rows.select("row", "told", F.posexplode("runs").alias("at", "marked"))
+    blocks = F.coalesce(F.sum((F.col("told") == "block").cast("long")), F.lit(0)).alias("block")
+    runs = materialize(slots.groupBy("marked").agg(F.count("told").alias("n"), blocks).withColumn("id", F.monotonically_increasing_id()), "runs")
 
-    def segment(batches):
-        cut = Segmenter(unigrams.value)
-        for batch in batches:
-            words = [cut.tokens(h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string()))], schema=schema)
-
-    rows = materialize(base.mapInArrow(segment, kept + ", words array<string>"), "urls")
-    decided = rows.filter("told is not null")
-    blocks = F.sum((F.col("told") == "block").cast("int")).alias("block")
-    seen = _frequent(decided.select(F.explode("words").alias("word"), "told"), model_words, blocks)
-    n = {r["told"]: r["count"] for r in decided.groupBy("told").count().collect()}
-    sums = {"block": sum(r["block"] for r in seen), "allow": sum(r["n"] - r["block"] for r in seen)}
-    weigh = lambda block, allow: math.log((block + 1) / (sums["block"] + len(seen) + 1)) - math.log((allow + 1) / (sums["allow"] + len(seen) + 1))
+    seen_text = [F.lower(path_of())] + ([F.lower(F.regexp_replace("html", "<[^>]*>", " "))] if "html" in pages.columns else [])
+    said = pages.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", *seen_text), F.lit("(?<![a-z])([a-z]{2,24})(?![a-z])"), F.lit(1))).alias("word"))
+    unigrams = materialize(said.groupBy("word").agg(F.count("*").alias("n")), "counts")
+    total = unigrams.agg(F.sum("n")).first()[0] or 0
+    latin = runs.filter(F.col("marked").rlike("^..[a-z]")).select("id", "marked")
+    known = latin.mapInArrow(_substrings, "id long, word string").join(unigrams.hint("merge"), "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    cut = runs.join(known.hint("merge"), "id", "left").select("id", "marked", "n", "block", "known")
+    cut = materialize(cut.mapInArrow(_cut(total), "id long, marked string, n long, block long, words array<string>"), "words")
+
+    words = cut.select("id", "n", "block", F.posexplode("words").alias("at", "word"))
+    seen = materialize(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.sum("block").alias("block")), "seen")
+    size, block, allow = (x or 0 for x in seen.agg(F.count("*"), F.sum("block"), F.sum(F.col("n") - F.col("block"))).first())
+    weight = F.log((F.col("block") + 1) / (block + size + 1)) - F.log((F.col("n") - F.col("block") + 1) / (allow + size + 1))
+    n = {r["told"]: r["count"] for r in rows.filter("told is not null").groupBy("told").count().collect()}
     prior = math.log(n["block"] / n["allow"]) if n.get("block") and n.get("allow") else (math.inf if n.get("block") else -math.inf)
-    model = spark.sparkContext.broadcast({r["word"]: weigh(r["block"], r["n"] - r["block"]) for r in seen})
+    weighed = words.select("id", "at", "word").join(seen.select("word", weight.alias("weight")).hint("merge"), "word", "left")
+    weighed = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("weight", F.lit(0.0)).alias("weight")))).alias("tokens"))
+    found = slots.select("row", "at", "marked").join(cut.select("id", "marked").join(weighed.hint("merge"), "id").drop("id").hint("merge"), "marked")
+    found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("runs"))  # in order, so that sums are alike
+    tokens = F.flatten(F.transform("runs", lambda r: r["tokens"]))
+    found = found.select("row", F.transform(tokens, lambda t: t["word"]).alias("words"), F.transform(tokens, lambda t: t["weight"]).alias("weights"))
     out = "page_id long, host string, path string, rule string, verdict string, p_block double"
     out_schema = pa.schema([*K.columns(out), ("words", pa.list_(pa.string()))])
 
     def judge(batches):
-        weights = model.value
         for batch in batches:
-            odds = [prior + sum(weights.get(w, 0.0) for w in ws) for ws in batch["words"].to_pylist()]
+            odds = [prior + sum(ws or ()) for ws in batch["weights"].to_pylist()]
             verdict = [t or ("block" if o > 0 else "allow") for t, o in zip(batch["told"].to_pylist(), odds, strict=True)]
             p = [1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, o)))) for o in odds]
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], batch["rule"], pa.array(verdict, pa.string()), pa.array(p, pa.float64()), batch["words"]], schema=out_schema)
+            words = pa.array([ws or [] for ws in batch["words"].to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], batch["rule"], pa.array(verdict, pa.string()), pa.array(p, pa.float64()), words], schema=out_schema)
 
-    return rows.mapInArrow(judge, out + ", words array<string>")
+    return rows.drop("runs").join(found.hint("merge"), "row", "left").mapInArrow(judge, out + ", words array<string>")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,18 @@ def test_url_bayes_learns_from_ruled_rows(spark):
     assert got[200] == "block" and got[201] == "allow"
 
 
+def test_url_models_keep_every_word(spark):
+    """Words beyond the 50,000 most frequent split hosts and weigh in the verdict as well."""
+    letter = "abcdefghijklmnopqrst"
+    many = ["".join(letter[n // 20**k % 20] for k in range(4)) + "u" for n in range(60_000)]
+    rules = [("allow", "good.net", "/", "good.net/"), ("block", "bad.net", "/", "bad.net/")]
+    rows = [(i, f"http://good.net/{'/'.join(many[i::60])}", " ".join(many[i::60])) for i in range(60)]
+    rows += [(100, "http://bad.net/wolf", "wolf lamb"), (200, "http://wolflamb.info/x", None), (201, "http://z.info/wolf", None), (202, "http://z.info/x", None)]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got[200]["words"][:2] == ["h:wolf", "h:lamb"]
+    assert got[201]["p_block"] > 1.5 * got[202]["p_block"]
+
+
 def test_segmenter_prefers_known_words():
     cut = url_filter.Segmenter({"free": 50, "casino": 40, "online": 30, "a": 5})
     assert cut.split("freecasinoonline") == ("free", "casino", "online")
