@@ -558,7 +558,8 @@ UNION ALL SELECT 'extra', source_name, NULL, kx.split FROM kx LEFT JOIN ke ON ke
 UNION ALL SELECT 'moved', file_name, ke.split, kx.split FROM kx JOIN ke ON ke.k = kx.k WHERE i = 1 AND kx.split <> ke.split
 UNION ALL SELECT 'boxes_changed', file_name, ke.split, kx.split FROM kx JOIN ke ON ke.k = kx.k WHERE i = 1 AND kx.h <> ke.h""")
 def reconcile_export(spark, d):
-    gt, im = _gt(spark, d), _copy_images(spark, d).filter("image_id % 2 = 1")
+    gt, every = _gt(spark, d), _copy_images(spark, d)
+    im = every.filter("image_id % 2 = 1")  # as the SQL does
     hist = gt.groupBy("image_id", "label").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("histogram"))
     none = F.array().cast("array<struct<label:string,n:bigint>>")
     full = im.join(hist, "image_id", "left").withColumn("histogram", F.coalesce("histogram", none))
@@ -567,7 +568,7 @@ def reconcile_export(spark, d):
         F.concat(F.when(i % 43 == 0, "new").otherwise(""), "file_name").alias("source_name"), F.when(i % 31 == 0, "train").otherwise(F.col("split")).alias("split"), F.when(i % 29 == 0, none).otherwise(F.col("histogram")).alias("histogram"),
     )
     twice = full.filter((i % 47 == 0) & (i % 43 != 0)).select(F.col("file_name").alias("source_name"), "split", "histogram")
-    R.check_keys(full)
+    R.check_keys(every)
     return R.compare_export(full, back.union(twice))
 
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from sightline import queries
+from sightline.operators import reconcile
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -35,6 +36,16 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(cols, told.fetchall())
 
 
+def test_export_keys_of_even_ids_are_checked(spark, tmp_path):
+    for file in os.listdir(FOLDER):
+        os.symlink(f"{FOLDER}/{file}", tmp_path / file)
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    (tmp_path / "orders.parquet").unlink()
+    orders.union(orders.filter("o_orderkey % 2 = 0").limit(1)).write.parquet(str(tmp_path / "orders.parquet"))
+    with pytest.raises(reconcile.AmbiguousKey):
+        queries.QUERIES["reconcile_export"](spark, str(tmp_path))
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
