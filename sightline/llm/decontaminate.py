@@ -8,8 +8,11 @@ all items, and each hit's surroundings are verified by Myers' bit-parallel edit
 The items are broadcast in slices of at most ``SLICE_CHARS`` characters; larger benchmarks take
 several passes instead of a larger broadcast.
 
-Defined cases: null or empty text holds nothing; items shorter than ``MIN_CHARS`` after cleaning
-are too common to tell anything and are skipped, null items too; equal items are reported each;
+Items shorter than ``MIN_CHARS`` after cleaning are found without edits and at word boundaries
+only; letters of scripts written without spaces are words of their own.
+
+Defined cases: null or empty text holds nothing; null items, and items without a letter or digit,
+are in no text; an item whose id is null is reported with a null id; equal items are reported each;
 of several passages the one with the fewest edits, then the first, is reported; repeated rows are
 judged alike; a null id is passed through; empty tables give an empty result; extra columns are
 ignored.
@@ -27,6 +30,8 @@ from sightline.llm import kernels as K
 
 ERRORS, MIN_CHARS, SLICE_CHARS = 0.07, 24, 2_000_000
 _gaps = re.compile(r"[\W_]+")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_unspaced = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def clean(text: str | None) -> str:
@@ -66,14 +71,20 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def between_words(text: str, at: int) -> bool:
+    """Whether a word ends or starts at this place of a cleaned text."""
+    around = text[max(0, at - 1) : at + 1]
+    return len(around) < 2 or " " in around or bool(_unspaced.search(around))
+
+
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
+    def __init__(self, items: list[tuple[int | None, str]], errors: float = ERRORS, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items, self.errors = items, errors
+        self.items, self.errors, self.min_chars = items, errors, min_chars
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item) in enumerate(items):
-            for at, piece in pieces(item, errors):
+            for at, piece in pieces(item, errors if len(item) >= min_chars else 0.0):
                 places.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
@@ -82,7 +93,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(places)
 
-    def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
+    def __call__(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item_id, edits, about the start, end) of the best passage of every item within its budget."""
         found: dict[int, tuple[int, int, int]] = {}
         tried: dict[int, int] = {}
@@ -95,6 +106,10 @@ class Matcher:
                 if found.get(n, (1,))[0] == 0 or tried.get(n) == start:
                     continue
                 tried[n] = start
+                if len(item) < self.min_chars:
+                    if between_words(text, start) and between_words(text, end + 1):
+                        found[n] = (0, start, end + 1)
+                    continue
                 if text.startswith(item, max(0, start)) and start >= 0:
                     found[n] = (0, start, start + len(item))
                     continue
@@ -120,11 +135,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
 
     def passage(n: int) -> DataFrame:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).collect() if parts > 1 else items.collect()
-        cleaned = sorted({(r["item_id"], clean(r["text"])) for r in own if r["item_id"] is not None})
-        shared = spark.sparkContext.broadcast([x for x in cleaned if len(x[1]) >= min_chars])
+        cleaned = {(r["item_id"], clean(r["text"])) for r in own}
+        shared = spark.sparkContext.broadcast(sorted((x for x in cleaned if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches):
-            match = Matcher(shared.value, errors)
+            match = Matcher(shared.value, errors, min_chars)
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for hit in match(clean(t))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)

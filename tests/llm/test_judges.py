@@ -163,6 +163,18 @@ def test_decontamination_equals_brute_force(spark, no_docs):
     assert decontaminate.contaminated(no_docs, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_short_items_and_null_ids_are_found(spark):
+    items = [(1, "What is 7 x 8?"), (2, "今天天气怎么样？"), (3, "..."), (None, prose(905, 18)), (None, "Who ran?")]
+    rows = [(1, "He asked: what is 7 x 8? No"), (2, "He asked what is 7 x 88"), (3, "somewhat is 7 x 8"), (4, "他问我今天天气怎么样，然后走了。"), (5, "…" + prose(905, 18)), (6, "Who ran"), (7, "who ran2"), (8, "...")]
+    rows += [(9, "somewhat is 7 x 8, what is 7 x 8")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (2_000_000, 100):
+        got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench, slice_chars=size).collect()}
+        assert got == {(1, 1, 0), (4, 2, 0), (5, None, 0), (6, None, 0), (9, 1, 0)}
+    hit = decontaminate.contaminated(docs.filter("doc_id = 9"), bench).first()
+    assert decontaminate.clean(rows[8][1])[hit["start"] : hit["end"]] == "what is 7 x 8" and hit["start"] > 4
+
+
 @pytest.mark.parametrize("errors", [0.0, 0.06, 0.3])
 def test_pieces_cover_an_item(errors):
     item = "the quick brown fox jumps over the lazy dog again and again"
