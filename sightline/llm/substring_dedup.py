@@ -5,8 +5,9 @@ window whose word sequence also starts in a document with a smaller id.
 
 * Every window has one anchor, the least hash among its ``GRAM``-word grams.  Equal windows have
   equal anchors, so only documents that share an anchor can share a window.
-* The index keeps (anchor, document) postings in sorted, immutable runs.  A batch is merge-joined
-  with the runs, its own postings become a new run, and ``compact`` merges runs into one.
+* The index keeps (anchor, document) postings in immutable runs.  A batch's postings become a new
+  run; shared anchors come from one group-by over the postings of all runs, not from a join of the
+  batch with earlier ones.  Beyond ``max_runs`` runs, ``compact`` merges them; the query has two.
 * Windows under a shared anchor are verified by 96 bits of hash of all their words, and the least
   document of each is found by a partial (map-side) minimum.
 
