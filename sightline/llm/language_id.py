@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
+from sightline.plans.store import materialize
 
-DICT_BYTES, SAMPLE_ROWS, MAX_LANGUAGES, BLOCK_BYTES, SHORT_BYTES = 98_304, 48, 128, 1024, 128
+DICT_BYTES, SAMPLE_ROWS, BLOCK_BYTES, SHORT_BYTES = 98_304, 48, 1024, 128
+#: Up to so many languages have dictionaries of full size; those of more languages share their room.
+FULL_LANGUAGES, LEAST_BYTES = 128, 1024
 #: Saved bytes that make one language e times as likely as another.
 SOFT_BYTES = 4.0
 #: A text is rejected below this score.
@@ -44,32 +47,40 @@ def letters(text: str) -> bytes:
 def train(rows: DataFrame, dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """One dictionary for each language of (doc_id, text, lang), from at most ``sample_rows`` rows of each.
 
-    Only the MAX_LANGUAGES most frequent languages are learned, so that the driver gets at most
-    MAX_LANGUAGES * sample_rows * dict_bytes / 8 bytes, besides languages that have long texts only.
+    Every label with 8 letters of text is learned.  Beyond FULL_LANGUAGES labels, dictionaries
+    shrink, to LEAST_BYTES at least, and take an eighth of their size from a row, so that up to
+    some 12,000 labels the driver gets at most FULL_LANGUAGES * sample_rows * dict_bytes / 8
+    bytes, besides languages that have long texts only.
     """
     long_ = (F.octet_length("text") > dict_bytes // 8).cast("long")
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
     rank = F.shiftleft(long_, 62) + F.shiftrightunsigned(hashed, 2)
     ranked = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", rank.alias("rank"), F.pmod(hashed, F.lit(sample_rows)).alias("bucket"))
-    least = ranked.groupBy("lang", "bucket").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
-    by_size = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    chosen = F.broadcast(least.drop("n").join(by_size.select("lang"), "lang"))  # MAX_LANGUAGES * sample_rows rows at most
-    sample = ranked.join(chosen, ["lang", "bucket", "rank"]).select("lang", "rank", F.substring("text", 1, dict_bytes).alias("text"))
+    least = materialize(ranked.groupBy("lang", "bucket").agg(F.min("rank").alias("rank")), "least")
+    languages = least.select("lang").distinct().count()
+    each, most = dict_bytes, dict_bytes
+    if languages > FULL_LANGUAGES:
+        each = min(dict_bytes, max(LEAST_BYTES, FULL_LANGUAGES * dict_bytes // languages))
+        most = each // 8
+    chosen = F.broadcast(least) if languages * sample_rows <= 1_000_000 else least
+    sample = ranked.join(chosen, ["lang", "bucket", "rank"]).select("lang", "rank", F.substring("text", 1, most).alias("text"))
     out: dict[str, bytes] = {}
     for r in sorted(sample.dropDuplicates(["lang", "rank"]).collect(), key=lambda r: (r["lang"], r["rank"])):
         piece, have = letters(r["text"]), out.get(r["lang"], b"")
-        if not have or len(have) + len(piece) < dict_bytes:
+        if not have or len(have) + len(piece) < each:
             out[r["lang"]] = piece + b" " + have
-    return {k: v[-dict_bytes:] for k, v in out.items() if len(v.strip()) >= 8}
+    return {k: v[-each:] for k, v in out.items() if len(v.strip()) >= 8}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
         self.squeeze = []
+        spare = max(0, (len(self.names) - 1) // FULL_LANGUAGES).bit_length()  # tables shrink with the dictionaries
+        logs = {k: max(10, SEARCH[k] - spare) for k in ("hash_log", "chain_log")}
         for name in self.names:
             own = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            search = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **SEARCH)
+            search = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **SEARCH | logs)
             own.precompute_compress(compression_params=search)
             self.squeeze.append(zstandard.ZstdCompressor(dict_data=own, compression_params=search).compress)
 

@@ -32,6 +32,16 @@ def test_language_id_on_held_out_rows(spark):
     assert {r["doc_id"] for r in kept} == {d for d, r in got.items() if not r["rejected"]} and all(r["lang"] == got[r["doc_id"]]["lang_pred"] for r in kept)
 
 
+def test_language_id_learns_every_label(spark):
+    rng = random.Random(4)
+    words = {f"l{n:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for n in range(140)}
+    rows = [(10 * n + i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for n, k in enumerate(words) for i in range(5 if n < 130 else 3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model) == sorted(words) and max(map(len, model.values())) <= language_id.DICT_BYTES * 128 // 140
+    judge = language_id.Classifier(model)
+    assert all(judge(" ".join(rng.choice(ws) for _ in range(30)))[0] == k for k, ws in words.items())
+
+
 def test_language_id_without_anything_learned(spark, no_docs):
     assert language_id.train(no_docs) == {}
     one = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
