@@ -3,9 +3,10 @@
 Documents become ids plus one end id; only documents longer than a sequence are cut, so that all
 but their first piece fill a sequence.  Pieces are dealt evenly to blocks of about ``BLOCK``
 pieces, and each block is packed by best fit in falling order of length.  A local search then
-takes the emptiest bins in turn and moves a piece, exchanges one for one, or two for one, with
-other underfull bins, whenever that raises the sum of squared fills, until a bin is empty or
-nothing helps.  It ends early when no smaller number of bins is possible.
+takes the emptiest bins in turn and moves one or two pieces, exchanges one for one, or two for
+one, with other underfull bins, whenever that raises the sum of squared fills, until no bin can
+do so.  It ends early when no smaller number of bins is possible.  Bins that stay underfull are
+dealt to blocks again and searched together, in ``ROUNDS`` rounds at most.
 
 Defined cases: null or empty text is one piece that holds the end id alone; very long texts are
 cut, never dropped; repeated rows are packed each; a null id is passed through; an empty table
@@ -14,6 +15,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import zlib
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from sightline.llm import kernels as K
 from sightline.plans.store import materialize
 
-BLOCK, STEPS, DONORS = 4096, 3000, 48
+BLOCK, ROUNDS = 4096, 4
 #: The word pattern of the byte-level vocabulary; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -108,43 +110,68 @@ def best_fit(lengths: np.ndarray, room: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, room: int, steps: int = STEPS, donors: int = DONORS) -> np.ndarray:
+def _sets(pieces: list[int], lengths: np.ndarray) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(size, count, pieces) of no, one and two pieces of a bin, one set for each size and count."""
+    by_length = {}
+    for i in pieces:
+        by_length.setdefault(int(lengths[i]), []).append(i)
+    found = {(0, 0): ()} | {(n, 1): (own[0],) for n, own in by_length.items()}
+    for (n, own), (m, more) in itertools.combinations_with_replacement(by_length.items(), 2):
+        if own is not more or len(own) > 1:
+            found.setdefault((n + m, 2), (own[0], more[-1]))
+    return [(size, count, held) for (size, count), held in found.items()]
+
+
+def improve(lengths: np.ndarray, bins: np.ndarray, room: int) -> np.ndarray:
     """Local search by moves and exchanges between underfull bins; see the module's text."""
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     least = -(-int(lengths.sum()) // room)
+    used = int((fill > 0).sum())
+    if used <= least:
+        return bins
     held: list[list[int]] = [[] for _ in fill]
     for i, b in enumerate(bins.tolist()):
         held[b].append(i)
-    tried: set[int] = set()
-    while (fill > 0).sum() > least and len(tried) < donors and steps > 0:
-        open_ = np.flatnonzero((fill > 0) & (fill < room))
-        donor = next((int(b) for b in open_[np.argsort(fill[open_], kind="stable")] if int(b) not in tried), None)
-        if donor is None:
-            break
-        others = open_[open_ != donor]
-        ones = [(i,) for b in others for i in held[b]]
-        twos = [p for b in others if len(held[b]) <= 8 for p in itertools.combinations(held[b], 2)]
-        outs = [((), b) for b in others.tolist()] + [(p, int(bins[p[0]])) for p in ones + twos]
-        size = np.array([sum(int(lengths[i]) for i in p) for p, _ in outs], dtype=np.int64)
-        at = np.array([b for _, b in outs], dtype=np.int64)
-        many = np.array([len(p) for p, _ in outs])
+    open_ = set(np.flatnonzero((fill > 0) & (fill < room)).tolist())
+    sets = {b: _sets(held[b], lengths) for b in open_}
+    arrays = {b: np.array([x[:2] for x in own], dtype=np.int64) for b, own in sets.items()}
+    changed, failed, log = dict.fromkeys(open_, 0), dict.fromkeys(open_, -1), []
+
+    def best_of(donor: int, others: list[int]):
+        """The exchange that raises the sum of squares most: (worth, mine, theirs, other)."""
+        size, many = np.concatenate([arrays[b] for b in others]).T
+        sizes = [len(arrays[b]) for b in others]
+        at, first = np.repeat(others, sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows = np.arange(len(at))
         best = None
-        for count in (1, 2):
-            for mine in itertools.combinations(held[donor], count) if len(held[donor]) <= 8 or count == 1 else ():
-                gain = sum(int(lengths[i]) for i in mine) - size
-                ok = (gain > 0) & (fill[at] + gain <= room) & (many + count <= 3)
-                if ok.any():
-                    worth = np.where(ok, gain * (fill[at] - fill[donor] + gain), 0)
+        for k in (1, 2):  # against two pieces at most, or one
+            fit = rows[many + k <= 3]
+            own_size, own_fill = size[fit], fill[at[fit]]
+            for n, count, mine in sets[donor]:
+                if count == k:
+                    gain = n - own_size
+                    worth = np.where((gain > 0) & (own_fill + gain <= room), gain * (own_fill - fill[donor] + gain), 0)
                     top = int(np.argmax(worth))
                     if worth[top] > 0 and (best is None or worth[top] > best[0]):
-                        best = (int(worth[top]), mine, top)
-        steps -= 1
+                        row = int(fit[top])
+                        best = (int(worth[top]), mine, sets[int(at[row])][row - int(first[row])][2], int(at[row]))
+        return best
+
+    queue = [(int(fill[b]), b) for b in open_]
+    heapq.heapify(queue)
+    while queue and used > least:
+        n, donor = heapq.heappop(queue)
+        if donor not in open_ or n != fill[donor]:
+            continue
+        # a donor that failed can only succeed with bins that changed since
+        again = failed[donor] >= changed[donor]
+        others = sorted((set(itertools.chain(*log[failed[donor] :])) & open_ if again else open_) - {donor})
+        best = best_of(donor, others) if others else None
         if best is None:
-            tried.add(donor)
+            failed[donor] = len(log)
             continue
-        _, mine, top = best
-        theirs, other = outs[top]
+        _, mine, theirs, other = best
         for group, src, dst in ((mine, donor, other), (theirs, other, donor)):
             for i in group:
                 held[src].remove(i)
@@ -152,6 +179,17 @@ def improve(lengths: np.ndarray, bins: np.ndarray, room: int, steps: int = STEPS
                 bins[i] = dst
                 fill[src] -= lengths[i]
                 fill[dst] += lengths[i]
+        log.append((donor, other))
+        for b in (donor, other):
+            if 0 < fill[b] < room:
+                sets[b] = _sets(held[b], lengths)
+                arrays[b] = np.array([x[:2] for x in sets[b]], dtype=np.int64)
+                changed[b] = len(log)
+            else:
+                open_.discard(b)
+        used -= int(fill[donor] == 0)
+        queue = [(int(fill[b]), b) for b in open_]
+        heapq.heapify(queue)
     return bins
 
 
@@ -180,21 +218,29 @@ def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
 
-def _pack(room: int):
+def _pack(room: int, base: int = 0):
+    """Packs a block's pieces; those of later rounds come in bins, which may stay."""
+
     def run(key, rows):
         lengths = rows["length"].to_numpy()
         short = np.flatnonzero(lengths < room)
         bins = np.arange(len(lengths)) + len(lengths)
         if len(short):
             bins[short] = improve(lengths[short], best_fit(lengths[short], room), room)
+            if base:
+                kept = improve(lengths[short], np.unique(rows["sequence_id"].to_numpy()[short], return_inverse=True)[1], room)
+                if len(set(kept.tolist())) <= len(set(bins[short].tolist())):
+                    bins[short] = kept
         order = np.lexsort((rows["piece"].to_numpy(), bins))
         ends = np.cumsum(lengths[order])
         new = np.ones(len(order), dtype=bool)
         new[1:] = bins[order][1:] != bins[order][:-1]
         before = ends - lengths[order]
         offsets = before - before[new][np.cumsum(new) - 1]
-        out = rows.drop_columns(["block"]).take(pa.array(order))
-        return out.append_column("sequence_id", pa.array(bins[order] + (key[0].as_py() << 24))).append_column("offset", pa.array(offsets))
+        fills = np.add.reduceat(lengths[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        out = rows.select([c for c in rows.column_names if c not in ("block", "sequence_id", "offset", "underfull")]).take(pa.array(order))
+        out = out.append_column("sequence_id", pa.array(bins[order] + (key[0].as_py() + base << 24)))
+        return out.append_column("offset", pa.array(offsets)).append_column("underfull", pa.array(fills < room))
 
     return run
 
@@ -204,9 +250,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: in
     run, schema = _pieces(tokenizer, room, end_id, with_ids)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = materialize(text.mapInArrow(run, schema), "pieces")
+    schema += ", sequence_id long, offset long, underfull boolean"
     blocks = max(1, -(-pieces.count() // block))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(_pack(room), f"{schema}, sequence_id long, offset long")
+    packed = materialize(dealt.groupBy("block").applyInArrow(_pack(room), schema), "packed")
+    out, base = None, 0
+    for n in range(ROUNDS):
+        if blocks == 1:
+            break
+        left = packed.filter("underfull")
+        count, tokens, bins = left.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.countDistinct("sequence_id")).first()
+        if bins <= -(-tokens // room):
+            break
+        full = packed.filter("not underfull")
+        out, base, blocks = full if out is None else out.union(full), base + blocks, -(-count // block)
+        dealt = left.withColumn("block", F.pmod(F.xxhash64("sequence_id", F.lit(n)), F.lit(blocks)))
+        packed = materialize(dealt.groupBy("block").applyInArrow(_pack(room, base), schema), "packed")
+    return (packed if out is None else out.union(packed)).drop("underfull")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

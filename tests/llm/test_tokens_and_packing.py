@@ -89,6 +89,12 @@ def test_packing_keeps_every_token(docs, no_docs):
     assert packing.pack_documents(no_docs, BPE).collect() == []
 
 
+def test_underfull_sequences_of_all_blocks_are_packed_together(spark):
+    docs = spark.createDataFrame([(i, None) for i in range(250)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, BPE, room=64, block=100).collect()
+    assert check_packing(rows, [(i, None) for i in range(250)], 64) == (4, 250)
+
+
 def test_local_search_never_needs_more_and_raises_the_squared_fill():
     rng = random.Random(3)
     for _ in range(30):
