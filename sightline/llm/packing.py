@@ -3,10 +3,11 @@
 Documents become ids plus one end id; only documents longer than a sequence are cut, so that all
 but their first piece fill a sequence.  Pieces are dealt evenly to blocks of about ``BLOCK``
 pieces, and each block is packed by best fit in falling order of length.  A local search then
-takes the emptiest bins in turn and moves one or two pieces, exchanges one for one, or two for
-one, with other underfull bins, whenever that raises the sum of squared fills, until no bin can
-do so.  It ends early when no smaller number of bins is possible.  Bins that stay underfull are
-dealt to blocks again and searched together, in ``ROUNDS`` rounds at most.
+takes the underfull bins in turn, the emptiest first, and moves one or two of their pieces, or
+exchanges them one for one, or two for one, with other underfull bins, whenever that raises the
+sum of squared fills; it sweeps until no bin can do so.  It ends early when no smaller number of
+bins is possible.  The pieces of bins that stay underfull are dealt to blocks again, packed and
+searched together, in ``ROUNDS`` rounds at most.
 
 Defined cases: null or empty text is one piece that holds the end id alone; very long texts are
 cut, never dropped; repeated rows are packed each; a null id is passed through; an empty table
@@ -15,7 +16,6 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import re
 import zlib
@@ -158,38 +158,36 @@ def improve(lengths: np.ndarray, bins: np.ndarray, room: int) -> np.ndarray:
                         best = (int(worth[top]), mine, sets[int(at[row])][row - int(first[row])][2], int(at[row]))
         return best
 
-    queue = [(int(fill[b]), b) for b in open_]
-    heapq.heapify(queue)
-    while queue and used > least:
-        n, donor = heapq.heappop(queue)
-        if donor not in open_ or n != fill[donor]:
-            continue
-        # a donor that failed can only succeed with bins that changed since
-        again = failed[donor] >= changed[donor]
-        others = sorted((set(itertools.chain(*log[failed[donor] :])) & open_ if again else open_) - {donor})
-        best = best_of(donor, others) if others else None
-        if best is None:
-            failed[donor] = len(log)
-            continue
-        _, mine, theirs, other = best
-        for group, src, dst in ((mine, donor, other), (theirs, other, donor)):
-            for i in group:
-                held[src].remove(i)
-                held[dst].append(i)
-                bins[i] = dst
-                fill[src] -= lengths[i]
-                fill[dst] += lengths[i]
-        log.append((donor, other))
-        for b in (donor, other):
-            if 0 < fill[b] < room:
-                sets[b] = _sets(held[b], lengths)
-                arrays[b] = np.array([x[:2] for x in sets[b]], dtype=np.int64)
-                changed[b] = len(log)
-            else:
-                open_.discard(b)
-        used -= int(fill[donor] == 0)
-        queue = [(int(fill[b]), b) for b in open_]
-        heapq.heapify(queue)
+    moved = True
+    while moved and used > least:
+        moved = False
+        for donor in sorted(open_, key=lambda b: (int(fill[b]), b)):
+            while donor in open_ and used > least:
+                # a donor that failed can only succeed with bins that changed since
+                again = failed[donor] >= changed[donor]
+                others = sorted((set(itertools.chain(*log[failed[donor] :])) & open_ if again else open_) - {donor})
+                best = best_of(donor, others) if others else None
+                if best is None:
+                    failed[donor] = len(log)
+                    break
+                moved = True
+                _, mine, theirs, other = best
+                for group, src, dst in ((mine, donor, other), (theirs, other, donor)):
+                    for i in group:
+                        held[src].remove(i)
+                        held[dst].append(i)
+                        bins[i] = dst
+                        fill[src] -= lengths[i]
+                        fill[dst] += lengths[i]
+                log.append((donor, other))
+                for b in (donor, other):
+                    if 0 < fill[b] < room:
+                        sets[b] = _sets(held[b], lengths)
+                        arrays[b] = np.array([x[:2] for x in sets[b]], dtype=np.int64)
+                        changed[b] = len(log)
+                    else:
+                        open_.discard(b)
+                used -= int(fill[donor] == 0)
     return bins
 
 
@@ -219,7 +217,7 @@ def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
 
 
 def _pack(room: int, base: int = 0):
-    """Packs a block's pieces; those of later rounds come in bins, which may stay."""
+    """Packs a block's pieces anew; those of later rounds come in bins, which stay if that needs more."""
 
     def run(key, rows):
         lengths = rows["length"].to_numpy()
@@ -228,9 +226,9 @@ def _pack(room: int, base: int = 0):
         if len(short):
             bins[short] = improve(lengths[short], best_fit(lengths[short], room), room)
             if base:
-                kept = improve(lengths[short], np.unique(rows["sequence_id"].to_numpy()[short], return_inverse=True)[1], room)
-                if len(set(kept.tolist())) <= len(set(bins[short].tolist())):
-                    bins[short] = kept
+                had = np.unique(rows["sequence_id"].to_numpy()[short], return_inverse=True)[1]
+                if had.max() < len(np.unique(bins[short])):
+                    bins[short] = had
         order = np.lexsort((rows["piece"].to_numpy(), bins))
         ends = np.cumsum(lengths[order])
         new = np.ones(len(order), dtype=bool)
@@ -246,11 +244,24 @@ def _pack(room: int, base: int = 0):
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of every piece."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece.
+
+    ``ids`` holds little-endian unsigned 32-bit ids.  They don't travel through the rounds of
+    packing: they are joined to the result once.
+    """
     run, schema = _pieces(tokenizer, room, end_id, with_ids)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(text.mapInArrow(run, schema), "pieces")
-    schema += ", sequence_id long, offset long, underfull boolean"
+    pieces = text.mapInArrow(run, schema)
+    if with_ids:
+        pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+        packed = _packed(pieces.drop("ids"), room, block)
+        return packed.join(pieces.select("uid", "ids"), "uid").drop("uid")
+    return _packed(materialize(pieces, "pieces"), room, block)
+
+
+def _packed(pieces: DataFrame, room: int, block: int) -> DataFrame:
+    """The pieces with sequence_id and offset; each round is written before the next."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, underfull boolean"
     blocks = max(1, -(-pieces.count() // block))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     packed = materialize(dealt.groupBy("block").applyInArrow(_pack(room), schema), "packed")
