@@ -13,29 +13,15 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE = 1 << 18
-_R, _R_INV = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_Q, _Q_INV = U64(0xD6E8FEB86659FD93), U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
-
+_ALL = (1 << 64) - 1
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(1 << max(16, int(n - 1).bit_length()), base, dtype=U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if len(have) > 4 * SLICE:
-            return have[:n]
-        _powers[int(base)] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(30))
@@ -45,13 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_sums(values: np.ndarray, base: np.uint64, inverse: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The polynomial sum(values[s + k] * base**k) of each span, independent of its place."""
-    total = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(base, len(values)), out=total[1:])
-    return (total[ends] - total[starts]) * powers(inverse, len(values) + 1)[starts]
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-space bytes, and the number of words before each document."""
     n = len(data)
@@ -69,21 +48,49 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and the number of words before each document."""
-    starts, ends, bounds = word_spans(data, offsets)
-    raw = span_sums(data.astype(U64) + U64(1), _R, _R_INV, starts, ends)
-    return mix(raw + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)), bounds
-
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and the number of words before each document.
 
-def gram_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """Hashes of the k consecutive words from each place; shorter by k-1 than the words."""
+    Eight bytes at a time are scrambled into the state, so no structure of the bytes cancels out;
+    two seeds give independent hashes.
+    """
+    starts, ends, bounds = word_spans(data, offsets)
+    n = ends - starts
+    state = mix(n.astype(U64) + U64((2 * seed + 1) * 0xA24BAED4963EE407 & _ALL))
+    if len(n):
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        eights = np.lib.stride_tricks.as_strided(np.frombuffer(padded, dtype=U64, count=1), shape=(len(data),), strides=(1,))
+        live, at = np.arange(len(n)), 0
+        while len(live):
+            left = n[live] - at
+            told = eights[starts[live] + at] & _LOW[np.minimum(left, 8)]
+            state[live] = mix((state[live] ^ told) * U64(0x9E3779B97F4A7C15) + U64(seed))
+            live, at = live[left > 8], at + 8
+    return state, bounds
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k consecutive word hashes from each place; shorter by k-1 than the words.
+
+    Neighbouring halves are scrambled together, and the powers of two that make up k are chained.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    at = np.arange(n)
-    base, inverse = (_R, _R_INV) if seed == 1 else (_Q, _Q_INV)
-    return mix(span_sums(words, base, inverse, at, at + k) + U64(seed * 0x9FB21C651E98DF25 + k & (1 << 64) - 1))
+    out, at, size, grams = None, 0, 1, words
+    while size <= k:
+        if k & size:
+            part = grams[at : at + n]
+            out = part if out is None else _joined(out, part)
+            at += size
+        if 2 * size <= k:
+            grams = _joined(grams[:-size], grams[size:])
+        size *= 2
+    return mix(out + U64(k * 0x9FB21C651E98DF25 & _ALL))
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(0xD6E8FEB86659FD93) + b)
 
 
 def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,7 +1,8 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-* A document is the set of its distinct k-word shingles.  Documents with equal sets form a class,
-  represented by the least id; only representatives go on.
+* A document is the set of its distinct k-word shingles.  Documents with equal sets, by the sums of
+  two independent hashes of their shingles, form a class, represented by the least id; only
+  representatives go on.
 * A signature has ``COORDS`` min-hash coordinates.  Each (coordinate, value) pair is a token, and
   documents are posted under their tokens.  Two documents are candidates when at least
   ``MATCHES`` tokens collide.  At similarity 0.8 a pair misses that with a chance of 4e-5, at 0.82 of 6e-6.
@@ -11,7 +12,7 @@
 * Short posting lists give all their pairs; lists with equal members are merged first.  Lists
   longer than ``SHORT`` are cut into blocks; each pair of blocks is compared as matrices and gives
   a spanning forest of its best-matching pairs, so a group of copies never gives all its pairs.
-* Candidates are confirmed on full sets.  Where a long list still holds several components after
+* Candidates are confirmed on the full sets of their words; hashes only sift before.  Where a long list still holds several components after
   that, all its matching pairs across components are confirmed in the same tasks, each pair under
   one of its common tokens only, so no link is lost and only links that join are returned.
 
@@ -32,28 +33,38 @@ from sightline.llm import kernels as K
 from sightline.operators.components import connected_components
 from sightline.plans.store import bounded, materialize
 
-COORDS, MATCHES, SHORT, BLOCK, BROADCAST_IDS = 64, 38, 32, 1024, 1_000_000
+COORDS, MATCHES, SHORT, BLOCK, BROADCAST_IDS, KEPT_SETS = 64, 38, 32, 1024, 1_000_000, 64
 _FACTORS = K.mix(np.arange(1, 2 * COORDS + 1, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each document, concatenated, and their bounds."""
-    words, bounds = K.word_hashes(data, offsets)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each document, concatenated, a second independent hash of each, and their bounds."""
+    told = [K.word_hashes(data, offsets, seed) for seed in (0, 1)]
+    bounds = told[0][1]
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    grams = K.gram_hashes(words, k)
-    whole = np.flatnonzero(doc[: len(grams)] == doc[k - 1 :]) if len(grams) else np.zeros(0, dtype=np.int64)
-    values, owner = grams[whole], doc[whole]
+    count = max(0, len(doc) - k + 1)
+    whole = np.flatnonzero(doc[:count] == doc[k - 1 :]) if count else np.zeros(0, dtype=np.int64)
     few = np.flatnonzero((n > 0) & (n < k))
-    if len(few):  # their whole sequence is one shingle
-        short = np.concatenate([K.gram_hashes(words[bounds[i] : bounds[i + 1]], int(n[i])) for i in few])
-        values, owner = np.concatenate([values, short]), np.concatenate([owner, few])
+    owner = np.concatenate([doc[whole], few])
+    values, second = (np.concatenate([K.gram_hashes(words, k)[whole], *(K.gram_hashes(words[bounds[i] : bounds[i + 1]], int(n[i])) for i in few)]) for words, _ in told)
     order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    values, second, owner = values[order], second[order], owner[order]
     new = np.ones(len(values), dtype=bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
-    return values, np.searchsorted(owner, np.arange(len(n) + 1))
+    return values[new], second[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
+
+
+def word_sets(raw: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves; fewer words than k make one."""
+    words = raw.split()
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} - {()}
+
+
+def linked(a, b, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two Python sets."""
+    both = len(a & b)
+    return bool(a and b) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, coords: int = COORDS) -> np.ndarray:
@@ -73,12 +84,12 @@ def _sketch(k: int):
     def run(batches):
         for batch in batches:
             for at, n, data, offsets in K.slices(batch["text"], lower=True):
-                values, bounds = shingle_sets(data, offsets, k)
+                values, second, bounds = shingle_sets(data, offsets, k)
                 full = np.diff(bounds) > 0
                 sums = np.zeros((2, n), dtype=K.U64)
                 if full.any():
                     sums[0, full] = np.add.reduceat(K.mix(values), bounds[:-1][full])
-                    sums[1, full] = np.add.reduceat(K.mix(values ^ _FACTORS[0]), bounds[:-1][full])
+                    sums[1, full] = np.add.reduceat(K.mix(second ^ _FACTORS[0]), bounds[:-1][full])
                 tokens = K.long_lists(signatures(values, bounds).reshape(-1), np.concatenate([[0], np.cumsum(full * COORDS)]))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), pa.array(np.diff(bounds)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), tokens], schema=schema)
 
@@ -100,13 +111,14 @@ def _confirm(k: int, percent: int):
     def sets(blobs):
         open_ = zstandard.ZstdDecompressor().decompress
         texts = [open_(x) for x in blobs]
-        return shingle_sets(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]), k)
+        values, _, bounds = shingle_sets(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]), k)
+        return texts, values, bounds
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                (va, ba), (vb, bb) = (sets(part[c].to_pylist()) for c in ("blob_a", "blob_b"))
+                (ta, va, ba), (tb, vb, bb) = (sets(part[c].to_pylist()) for c in ("blob_a", "blob_b"))
                 good = []
                 for i in range(part.num_rows):
                     a, b = va[ba[i] : ba[i + 1]], vb[bb[i] : bb[i + 1]]
@@ -114,7 +126,8 @@ def _confirm(k: int, percent: int):
                         good.append(False)
                         continue
                     both = len(np.intersect1d(a, b, assume_unique=True))
-                    good.append(100 * both >= percent * (len(a) + len(b) - both))
+                    likely = 100 * both >= percent * (len(a) + len(b) - both)  # by hashes; the words decide
+                    good.append(likely and linked(word_sets(ta[i], k), word_sets(tb[i], k), percent))
                 yield pa.RecordBatch.from_arrays([part[c].filter(pa.array(good)) for c in ("a", "b")], schema=schema)
 
     return run, "src long, dst long"
@@ -181,10 +194,11 @@ def _joining(k: int, percent: int, matches: int):
                 parent[c] = c = parent[parent[c]]
             return c
 
-        def full(i: int) -> np.ndarray:
+        def full(i: int) -> set:
             if i not in sets:
-                raw = open_(blobs[i].as_py())
-                sets[i] = shingle_sets(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), k)[0]
+                while len(sets) >= KEPT_SETS:
+                    sets.pop(next(iter(sets)))
+                sets[i] = word_sets(open_(blobs[i].as_py()), k)
             return sets[i]
 
         src, dst = [], []
@@ -197,13 +211,10 @@ def _joining(k: int, percent: int, matches: int):
             near = near[np.where(long_[near] == long_[i], turn, COORDS).argmin(axis=1) == own] if len(near) else near
             for j in near.tolist():
                 if root(int(comp[i])) != root(int(comp[j])):
-                    a, b = full(i), full(j)
-                    if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if 100 * both >= percent * (len(a) + len(b) - both):
-                            parent[root(int(comp[i]))] = root(int(comp[j]))
-                            src.append(int(ids[i]))
-                            dst.append(int(ids[j]))
+                    if linked(full(i), full(j), percent):
+                        parent[root(int(comp[i]))] = root(int(comp[j]))
+                        src.append(int(ids[i]))
+                        dst.append(int(ids[j]))
         return pa.Table.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=schema)
 
     return run

@@ -3,17 +3,22 @@
 A window is ``WINDOW`` consecutive words of one document.  A word goes when it is covered by a
 window whose word sequence also starts in a document with a smaller id.
 
-* Every window has one anchor, the least hash among its ``GRAM``-word grams.  Equal windows have
-  equal anchors, so only documents that share an anchor can share a window.
-* The index keeps (anchor, document) postings in immutable runs.  A batch's postings become a new
-  run; shared anchors come from one group-by over the postings of all runs, not from a join of the
-  batch with earlier ones.  Beyond ``max_runs`` runs, ``compact`` merges them; the query has two.
-* Windows under a shared anchor are verified by 96 bits of hash of all their words, and the least
-  document of each is found by a partial (map-side) minimum.
+* Every window has an anchor, the least hash among its ``GRAM``-word grams.  Equal windows have
+  equal anchors, so only documents that share an anchor can share a window.  Anchors are a
+  twentieth of all windows.
+* The index holds three levels of immutable sorted runs: anchors with their least document, digests
+  of the words of windows with their least document, and compressed texts.  A window is in the
+  index once its anchor is shared; until then its text stands for it.
+* A batch becomes a run of each level.  Its anchors are merge-joined with earlier runs.  Where an
+  anchor is shared, its holders in the batch, and its only earlier holder if it had just one, are
+  opened and their windows under it are digested.  These digests are merge-joined with earlier
+  runs: a window of the batch whose least document is smaller goes.  More than ``max_runs`` runs of
+  a level are compacted before a batch meets them.
+* The digest is 128 bits of BLAKE2 over a window's words themselves, not over hashes of them.
 
 Documents with equal word sequences form a class; only its least document is indexed, the others
-are wholly repeated.  A very common passage is one key of the minimum and of an equi-join, never
-one group in memory.
+are wholly repeated.  Runs hold a key once, so a very common passage is one row of a run, and a
+batch's rows are combined before any shuffle by their key.
 
 Defined cases: null or blank text has 0 words; a null id is never removed nor seen by others;
 documents of fewer words than a window lose nothing; repeated rows of one id do not remove each
@@ -23,7 +28,6 @@ other; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
-from sightline.plans.store import fresh_path, materialize
-from sightline.sources import files
+from sightline.llm.runs import RunStore, merging
+from sightline.plans.store import materialize
 
-WINDOW, GRAM = 50, 10
+#: A table is indexed in BATCHES ranges of ids; a batch meets MAX_RUNS runs of a level at most.
+WINDOW, GRAM, BATCHES, MAX_RUNS = 50, 10, 3, 1
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -61,9 +66,11 @@ def _windows(words: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> t
 
 
 def _scan(window: int, gram: int):
-    schema = K.columns("doc_id long, seq string, n_words long, anchors longs")
+    kind = "doc_id long, seq string, n_words long, anchors array<long>, blob binary"
+    schema = K.columns("doc_id long, seq string, n_words long, anchors longs, blob binary")
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at, n, data, offsets in K.slices(batch["text"]):
                 words, bounds = K.word_hashes(data, offsets)
@@ -73,27 +80,23 @@ def _scan(window: int, gram: int):
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchors[1:] != anchors[:-1])
                 doc, anchors = doc[new], anchors[new]
-                raw = data.tobytes()
-                seqs = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                ids = batch["doc_id"].slice(at, n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(seqs), pa.array(np.diff(bounds)), K.long_lists(anchors, np.searchsorted(doc, np.arange(n + 1)))], schema=schema)
+                raw, counts = data.tobytes(), np.diff(bounds)
+                joined = [b" ".join(raw[a:b].split()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                seqs = [hashlib.sha256(x).hexdigest() for x in joined]
+                blobs = [squeeze(x) if c >= window else None for x, c in zip(joined, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), pa.array(seqs), pa.array(counts), K.long_lists(anchors, np.searchsorted(doc, np.arange(n + 1))), pa.array(blobs, pa.binary())], schema=schema)
 
-    return run, "doc_id long, seq string, n_words long, anchors array<long>"
+    return run, kind
 
 
-def _blobs(batches):
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    schema = K.columns("doc_id long, seq string, blob binary")
-    for batch in batches:
-        for at, n, data, offsets in K.slices(batch["text"]):
-            raw = data.tobytes()
-            joined = [b" ".join(raw[a:b].split()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, n), pa.array([hashlib.sha256(x).hexdigest() for x in joined]), pa.array([squeeze(x) for x in joined], pa.binary())], schema=schema)
+def _opened(batch: pa.RecordBatch, window: int, gram: int, size: int = 256):
+    """Documents of a batch by slices: (first row, texts, word bounds, windows under the row's anchors by document).
 
-
-def _opened(batch: pa.RecordBatch, size: int = 256):
-    """Slices of a batch of blobs as (first row, rows, texts, word hashes, bounds)."""
+    A slice's windows come as (start words, documents, digests as rows of two 64-bit numbers).
+    """
     open_ = zstandard.ZstdDecompressor().decompress
+    lists = batch["anchors"]
+    values, ends = lists.flatten().to_numpy().view(K.U64), np.cumsum([0, *np.diff(lists.offsets.to_numpy())])
     at = 0
     while at < batch.num_rows:
         texts, total = [], 0
@@ -101,30 +104,35 @@ def _opened(batch: pa.RecordBatch, size: int = 256):
             texts.append(open_(batch["blob"][at + len(texts)].as_py()))
             total += len(texts[-1])
         offsets = np.cumsum([0, *map(len, texts)])
-        words, bounds = K.word_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
-        yield at, len(texts), texts, words, bounds
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        words, bounds = K.word_hashes(data, offsets)
+        first, last, _ = K.word_spans(data, offsets)
+        starts, doc, anchors = _windows(words, bounds, window, gram)
+        cut, shared = np.searchsorted(doc, np.arange(len(texts) + 1)), np.zeros(len(starts), dtype=bool)
+        for i in range(len(texts)):
+            shared[cut[i] : cut[i + 1]] = np.isin(anchors[cut[i] : cut[i + 1]], values[ends[at + i] : ends[at + i + 1]])
+        starts, doc = starts[shared], doc[shared]
+        told = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first[starts].tolist(), last[starts + window - 1].tolist(), strict=True)]
+        yield at, texts, bounds, starts, doc, np.frombuffer(b"".join(told), dtype="<i8").reshape(-1, 2)
         at += len(texts)
 
 
-def _verified(window: int, gram: int):
-    schema = K.columns("h1 long, h2 int, doc_id long")
+def _digests(window: int, gram: int):
+    """Each window once a document."""
+    schema = K.columns("h1 long, h2 long, doc_id long")
 
     def run(batches):
         for batch in batches:
-            lists, ids = batch["anchors"], batch["doc_id"].to_numpy()
-            values, ends = lists.flatten().to_numpy().view(K.U64), np.cumsum([0, *np.diff(lists.offsets.to_numpy())])
-            for at, n, _, words, bounds in _opened(batch):
-                starts, doc, anchors = _windows(words, bounds, window, gram)
-                shared, cut = np.zeros(len(starts), dtype=bool), np.searchsorted(doc, np.arange(n + 1))
-                for i in range(n):
-                    shared[cut[i] : cut[i + 1]] = np.isin(anchors[cut[i] : cut[i + 1]], values[ends[at + i] : ends[at + i + 1]])
-                at_word, who = starts[shared], doc[shared]
-                h1 = K.gram_hashes(words, window)[at_word]
-                h2 = (K.gram_hashes(words, window, seed=2)[at_word] >> K.U64(33)).astype(np.int32)
-                _, first = np.unique(h1 ^ K.mix(who.astype(K.U64) + K.U64(1)), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first]), pa.array(ids[at + who[first]])], schema=schema)
+            ids = batch["doc_id"].to_numpy()
+            for at, _, _, _, doc, told in _opened(batch, window, gram):
+                order = np.lexsort((told[:, 1], told[:, 0], doc))
+                doc, told = doc[order], told[order]
+                new = np.ones(len(doc), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (told[1:] != told[:-1]).any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(told[new, 0]), pa.array(told[new, 1]), pa.array(ids[at + doc[new]])], schema=schema)
 
-    return run, "h1 long, h2 int, doc_id long"
+    return run, "h1 long, h2 long, doc_id long"
 
 
 def _removed(window: int, gram: int):
@@ -132,15 +140,16 @@ def _removed(window: int, gram: int):
 
     def run(batches):
         for batch in batches:
-            lists = batch["hits"]
-            values, ends = lists.flatten().to_numpy().view(K.U64), np.cumsum([0, *np.diff(lists.offsets.to_numpy())])
-            for at, n, texts, words, bounds in _opened(batch):
-                starts, doc, _ = _windows(words, bounds, window, gram)
-                hashes, cut = K.gram_hashes(words, window)[starts], np.searchsorted(doc, np.arange(n + 1))
+            hits = batch["hits"]
+            pairs, ends = hits.flatten(), np.cumsum([0, *np.diff(hits.offsets.to_numpy())])
+            h1, h2 = pairs.field("h1").to_numpy(), pairs.field("h2").to_numpy()
+            for at, texts, bounds, starts, doc, told in _opened(batch, window, gram):
+                n, cut = len(texts), np.searchsorted(doc, np.arange(len(texts) + 1))
                 gone, kept = [], []
                 for i in range(n):
+                    own = set(zip(h1[ends[at + i] : ends[at + i + 1]].tolist(), h2[ends[at + i] : ends[at + i + 1]].tolist(), strict=True))
                     here = slice(cut[i], cut[i + 1])
-                    hit = starts[here][np.isin(hashes[here], values[ends[at + i] : ends[at + i + 1]])] - bounds[i]
+                    hit = starts[here][np.fromiter((tuple(t) in own for t in told[here].tolist()), dtype=bool, count=cut[i + 1] - cut[i])] - bounds[i]
                     change = np.zeros(bounds[i + 1] - bounds[i] + 1, dtype=np.int64)
                     change[hit] += 1
                     change[hit + window] -= 1
@@ -152,79 +161,87 @@ def _removed(window: int, gram: int):
     return run, "doc_id long, seq string, n_removed long, kept_text string, kept_sha256 string"
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of (anchor, doc_id) postings below one folder, named by its manifest.
-
-    The manifest is written anew and renamed into place after each change, so a run counts only
-    once it is whole, and an index can be opened again by its path.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 4):
-        self.spark, self.path, self.max_runs, self.runs = spark, path or fresh_path(spark, "index"), max_runs, []
-        if path and files.list_files(spark, f"{path}/manifest.txt"):
-            self.runs = [r["value"] for r in spark.read.text(f"{path}/manifest.txt").collect()]
+#: Columns, keys, and how columns of two runs are merged; ``holders`` is 1 or 2 for more.
+LEVELS = {
+    "anchors": ("anchor bigint, least bigint, holders int", ["anchor"], {"least": "least({a}, {b})", "holders": "least(2, coalesce({a}, 0) + coalesce({b}, 0))"}),
+    "windows": ("h1 bigint, h2 bigint, least bigint, last bigint", ["h1", "h2"], {"least": "least({a}, {b})", "last": "greatest({a}, {b})"}),
+    "texts": ("doc_id bigint, seq string, blob binary", ["doc_id"], {}),
+}
 
-    def _commit(self, runs: list[str]) -> None:
-        files.write_lines(self.spark.createDataFrame(list(enumerate(runs)), "at int, line string"), ["at"], f"{self.path}/manifest.txt")
-        self.runs = runs
 
-    def _write(self, postings: DataFrame) -> str:
-        run = f"{self.path}/run-{uuid.uuid4().hex}"
-        postings.repartition("anchor").sortWithinPartitions("anchor", "doc_id").write.option("compression", "zstd").parquet(run)
-        return run
+def open_index(spark: SparkSession, path: str | None = None) -> RunStore:
+    """A fingerprint index; with the path of an earlier one, its state after the last whole batch."""
+    return RunStore(spark, LEVELS, path)
 
-    def append(self, postings: DataFrame) -> None:
-        """The postings of one batch become one run; too many runs are merged into one."""
-        self._commit([*self.runs, self._write(postings.select("anchor", "doc_id"))])
-        if len(self.runs) > self.max_runs:
-            self.compact()
 
-    def postings(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], "anchor long, doc_id long")
-        return self.spark.read.schema("anchor long, doc_id long").parquet(*self.runs)
+def add_batch(index: RunStore, batch: DataFrame, rows: int, window: int = WINDOW, gram: int = GRAM, max_runs: int = MAX_RUNS) -> DataFrame:
+    """Judges (doc_id, seq, anchors, blob) against the index and itself, then makes it part of the index.
 
-    def compact(self) -> None:
-        """Old runs stay on disk until the folder is dropped, so running readers are not disturbed."""
-        if len(self.runs) > 1:
-            self._commit([self._write(self.postings().distinct())])
-
-    def shared(self) -> DataFrame:
-        """Anchors that more than one document holds."""
-        return self.postings().groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    Returns (doc_id, seq, n_removed, kept_text, kept_sha256) of the documents that lose words.  A
+    batch that is given again, as after a crash, gives the same result.
+    """
+    for level in ("anchors", "windows"):
+        index.compact(level, max_runs)
+    posted = batch.select("doc_id", F.explode("anchors").alias("anchor"))
+    several = F.when(F.min("doc_id") < F.max("doc_id"), 2).otherwise(1)
+    added = {
+        "texts": index.write("texts", batch.select("doc_id", "seq", "blob"), rows),
+        "anchors": index.write("anchors", posted.groupBy("anchor").agg(F.min("doc_id").alias("least"), several.alias("holders")), 24 * rows),
+    }
+    with merging(index.spark):
+        known = index.beside("anchors", added["anchors"]).filter("holders + coalesce(old_holders, 0) > 1")
+        shared = materialize(known.select("anchor", F.when(F.col("old_holders") == 1, F.col("old_least")).alias("only")), "shared")
+    holders = posted.join(shared.select("anchor"), "anchor").select("doc_id", "anchor")
+    earlier = shared.filter("only is not null").select(F.col("only").alias("doc_id"), "anchor")
+    flagged = holders.withColumn("new", F.lit(True)).union(earlier.withColumn("new", F.lit(False)))
+    suspects = flagged.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.max("new").alias("now"), F.max(~F.col("new")).alias("before"))
+    suspects, opened = materialize(suspects, "suspects"), None
+    with merging(index.spark):
+        for n, run in enumerate([added["texts"], *index.state["texts"]["runs"]]):
+            own = suspects.filter("before" if n else "now").select("doc_id", "anchors", F.lit(n == 0).alias("new"))
+            some = own.join(index.read("texts", run), "doc_id").select("doc_id", "seq", "blob", "anchors", "new")
+            opened = some if opened is None else opened.union(some)
+        opened = materialize(opened, "opened")
+    run, schema = _digests(window, gram)
+    found = opened.mapInArrow(run, schema)
+    added["windows"] = index.write("windows", found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), 48 * rows)
+    with merging(index.spark):
+        repeated = index.beside("windows", added["windows"]).withColumn("first", F.least("least", "old_least")).filter("first < last").select("h1", "h2", "first")
+        repeated = materialize(repeated, "repeated")
+    run, schema = _digests(window, gram)
+    new = opened.filter("new")
+    hits = new.mapInArrow(run, schema).join(repeated, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
+    run, schema = _removed(window, gram)
+    out = materialize(new.select("doc_id", "seq", "blob", "anchors").join(hits, "doc_id").mapInArrow(run, schema), "partly")
+    index.commit(added)
+    return out
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: RunStore | None = None, max_runs: int = MAX_RUNS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of ``docs``; kept_text is null where nothing goes.
 
-    The table is indexed in ``batches`` ranges of ids, each a run of its own.  To go on with a
-    later batch, give the index again and, as ``history``, the documents it holds: only those
-    that share an anchor with the batch are opened, and only the batch is judged.
+    The table goes through the index in ``batches`` ranges of ids, the smallest ids first.  With an
+    index that holds earlier documents, these are seen, and only ``docs`` are judged.
     """
     spark = docs.sparkSession
-    plain = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = plain(docs)
-    index = index or FingerprintIndex(spark)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _scan(window, gram)
     base = materialize(text.mapInArrow(run, schema), "scan")
     full = base.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     classes = materialize(full.groupBy("seq").agg(F.min("doc_id").alias("least")), "classes")
-    held = materialize(full.join(classes, "seq").filter("doc_id = least").select("doc_id", "anchors").select("doc_id", F.explode("anchors").alias("anchor")), "held")
-    low, high = held.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high, rows = classes.agg(F.min("least"), F.max("least"), F.count("*")).first()
+    indexed = full.select("doc_id", "seq", "anchors", "blob").join(classes.select("seq", F.col("least").alias("doc_id")), ["seq", "doc_id"], "left_semi")
+    own, parts = index or open_index(spark), []
     edges = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1] if low is not None else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        index.append(held.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
-    shared = index.shared() if history is None else index.shared().join(held.select("anchor"), "anchor", "left_semi")
-    suspects = index.postings().join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    every = text if history is None else text.union(plain(history))
-    squeezed = every.filter("doc_id is not null").mapInArrow(_blobs, "doc_id long, seq string, blob binary")
-    opened = materialize(suspects.join(squeezed, "doc_id"), "suspects")
-    run, schema = _verified(window, gram)
-    found = opened.mapInArrow(run, schema)
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    hits = found.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("h1").alias("hits"))
-    run, schema = _removed(window, gram)
-    partly = materialize(opened.select("doc_id", "seq", "blob").join(hits, "doc_id").mapInArrow(run, schema), "partly").dropDuplicates(["doc_id", "seq"])
+        if a < b:
+            parts.append(add_batch(own, indexed.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)), -(-rows // batches), window, gram, max_runs))
+    if index is None:
+        own.close()
+    partly = spark.createDataFrame([], _removed(window, gram)[1])
+    for part in parts:
+        partly = partly.union(part)
+    partly = partly.dropDuplicates(["doc_id", "seq"])
     nothing = hashlib.sha256(b"").hexdigest()
     copy = (F.col("n_words") >= window) & (F.col("least") < F.col("doc_id"))
     return (
