@@ -51,6 +51,7 @@ def test_language_id_without_anything_learned(spark, no_docs):
 
 LICENSES = [
     None, "", "MIT License", "the mit  license, MIT-license; apache license GNU General Public License v3", "cc-by 4.0 and CC BY-NC 4.0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    license_scan._MIT + " x " + license_scan._APACHE.upper(), license_scan._BSD + license_scan._BSD3 + license_scan._BSD_END, license_scan._GNU.format("Lesser", "3"),
     "permission is hereby granted free of charge", "gnu general public", "Licensed under the Apache License, Version 2.0.", "mit license " * 300, "cc by", "überlicense mité license", "BSD License. mozilla public license",
 ]
 
@@ -65,9 +66,11 @@ def test_license_scan_equals_sql(spark, no_docs):
     want = sorted(map(str, con.execute(license_scan.ORACLE).fetchall()))
     fix = lambda rs: sorted(tuple("None" if v in ("None", "nan") else v.removesuffix(".0") for v in r.strip("()").replace("'", "").split(", ")) for r in rs)
     assert fix(got) == fix(want)
+    assert sorted(map(str, license_scan.scan_licenses(docs, top=1).collect())) == sorted(map(str, license_scan.scan_licenses(docs).collect()))  # anchors are always looked up
     told = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
-    assert told[3]["base_labels"] == "apache,gpl,mit" and told[3]["n_base"] == 4 and told[9]["n_base"] == 300 and told[9]["last_word"] == 598
-    assert told[8]["labels"] == "apache,apache-2.0" and told[4]["labels"] == "cc-by,cc-by-nc" and told[5]["labels"] == "mit" and told[5]["base_labels"] == ""
+    assert told[3]["base_labels"] == "apache,gpl,mit" and told[3]["n_base"] == 4 and told[12]["n_base"] == 300 and told[12]["last_word"] == 598
+    assert told[6]["labels"] == "apache,apache-2.0,mit" and told[6]["score"] == 1.0 and told[7]["labels"] == "bsd,bsd-3-clause" and told[8]["labels"] == "lgpl"
+    assert told[11]["labels"] == "apache,apache-2.0" and told[4]["labels"] == "cc-by,cc-by-nc" and told[5]["labels"] == "mit" and told[5]["base_labels"] == ""
     assert license_scan.scan_licenses(no_docs).collect() == []
     text = Path(license_scan.__file__).read_text()
     assert not any(w in text for w in ("pandas", "mapIn", "udf", "rdd"))
