@@ -100,6 +100,36 @@ def test_vectors_equal_brute_force(spark):
     assert pq_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_links_of_many_lists_and_two_levels_equal_brute_force(spark, monkeypatch):
+    """Recall against brute force is 1 with the default reach, in one level of lists and in two."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist(), i % 2) for i in range(400)]
+    for i in range(400, 700):
+        base = np.array(rows[i % 100][1])
+        rows.append((i, (base + rng.normal(size=64) * 0.03 * (i % 6)).tolist(), rows[i % 100][2]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows = [(v, np.array(x, dtype=np.float32).astype(float).tolist(), label) for v, x, label in rows]
+    want = brute_vectors(rows, 0.98)
+    assert sum(n for n, _, _ in want.values()) > 300
+    for first in (1024, 6):
+        monkeypatch.setattr(pq_dedup, "FIRST", first)
+        got = pq_dedup.near_vectors(df, per_list=20).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == want
+
+
+def test_probed_share_falls_as_lists_grow():
+    rng = np.random.default_rng(2)
+    x = pq_dedup._unit(rng.normal(size=(4000, 64)))
+    share = []
+    for lists in (4, 16, 64):
+        q = pq_dedup.Quantiser(x, lists)
+        row, which = q.probes(x, 0.6 * 0.2)
+        share.append(len(row) / len(x) / lists)
+        own = q.encode(x)[0]
+        assert (np.bincount(row[which == own[row]], minlength=len(x)) == 1).all()
+    assert share[0] > share[1] > share[2] and share[2] < 0.25
+
+
 def test_table_distances_bound_the_true_ones():
     rng = np.random.default_rng(1)
     x = pq_dedup._unit(rng.normal(size=(300, 16)))
