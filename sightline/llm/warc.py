@@ -5,7 +5,8 @@
 * Of the pages with equal payloads the one with the largest id becomes a response record, the
   others become revisits that refer to it.  Headers, record ids and digests are made anew.
 * A file is written under a temporary name and renamed when complete; equal rows give equal bytes,
-  so a repeated task replaces a file by itself.  Only files named in the manifest are read.
+  so a repeated task replaces a file by itself.  The manifest is a table beside the files, written
+  when all are whole; only files that it names are read, so a folder can be read again by itself.
 
 Files go to any file system that pyarrow opens by uri; the folder has to be shared.
 
@@ -19,18 +20,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 import uuid
 import zlib
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
+from sightline.plans.indexing import with_index
 from sightline.plans.store import fresh_path, materialize
 
-ROLL_BYTES, SHARD_BYTES, MAX_SHARDS, SAMPLE, STAMP = 16 << 20, 32 << 20, 4096, 20_000, "2024-01-01T00:00:00Z"
+ROLL_BYTES, SHARD_BYTES, SAMPLE, STAMP = 16 << 20, 32 << 20, 20_000, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -129,23 +132,48 @@ def _writer(folder: str, roll: int, stamp: str):
 
 
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, stamp: str = STAMP) -> DataFrame:
-    """Writes (page_id, url, html) as archives and returns the manifest, itself kept beside them."""
+    """Writes (page_id, url, html) as archives and returns the manifest, kept as the folder's table ``manifest``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     light = materialize(pages.select("page_id", "digest", F.octet_length("html").alias("n")), "digests")
     rows, size = light.agg(F.count("*"), F.sum("n")).first()
-    shards = min(MAX_SHARDS, max(1, -(-(size or 0) // shard_bytes)))
-    step = max(1, rows // SAMPLE)
-    ids = sorted(r[0] for r in light.filter((F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0) & F.col("page_id").isNotNull()).select("page_id").distinct().limit(8 * SAMPLE).collect())
-    cuts = sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
-    shard = F.lit(0)
-    if cuts:
-        bounds = F.lit(np.array(cuts, dtype=np.int64))
-        shard = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("page_id"))), F.lit(0))
+    shards = max(1, -(-(size or 0) // shard_bytes))
+    shard = shard_of(_cuts(light, rows, shards))
     first = light.filter("page_id is not null").groupBy("digest", "n").agg(F.max("page_id").alias("refers"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "refers")
     links = light.join(first, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers", F.lit(False).alias("is_page")).distinct()
     both = pages.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers"), F.lit(True).alias("is_page")).unionByName(links).withColumn("shard", shard.cast("int"))
     dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "is_page")
-    return materialize(dealt.mapInArrow(_writer(folder, roll_bytes, stamp), MANIFEST), "manifest")
+    dealt.mapInArrow(_writer(folder, roll_bytes, stamp), MANIFEST).write.parquet(f"{folder}/manifest")
+    return open_manifest(pages.sparkSession, folder)
+
+
+def open_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder of archives; it is there once all files are."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+def _cuts(light: DataFrame, rows: int, shards: int) -> list[int]:
+    """First ids of all shards but the first: 8 bytes for every SHARD_BYTES of pages."""
+    if shards == 1:
+        return []
+    step = max(1, rows // max(SAMPLE, 16 * shards))
+    ids = materialize(light.filter((F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0) & F.col("page_id").isNotNull()).select("page_id").distinct(), "sample")
+    n = ids.count()
+    at = F.col("at") * shards
+    first = (at % n < shards) & (at >= n)  # the first place at or after each of n/shards, 2n/shards, ...
+    return sorted(r[0] for r in with_index(ids, "at", "page_id").filter(first).select("page_id").collect())
+
+
+def shard_of(cuts: list[int], id_: str = "page_id") -> Column:
+    """How many cuts are at or below the id, found in two steps of about sqrt(cuts) comparisons."""
+    if not cuts:
+        return F.lit(0)
+    k = math.isqrt(len(cuts)) + 1
+    parts = [cuts[i : i + k] for i in range(0, len(cuts), k)]
+    below = lambda of: F.coalesce(F.size(F.filter(of, lambda c: c <= F.col(id_))), F.lit(0))
+    held = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")  # one literal, folded once
+    firsts = F.from_json(F.lit(json.dumps([p[0] for p in parts])), "array<bigint>")
+    part = below(firsts) - 1
+    return F.when(part < 0, F.lit(0)).otherwise(part * k + below(F.get(held, part)))
 
 
 def members(stream, chunk: int = 1 << 20):

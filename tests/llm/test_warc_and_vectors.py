@@ -33,17 +33,29 @@ def test_warc_round_trip(spark):
             assert (r["record_type"], r["refers_to"]) == (("response", None) if top == r["page_id"] else ("revisit", top))
     assert sorted(r["record_type"] for r in rows if r["page_id"] == 7) == ["response", "revisit"]
     path = Path(folder.removeprefix("file://"))
-    files = {f.name: f.read_bytes() for f in path.iterdir()}
+    files = {f.name: f.read_bytes() for f in path.iterdir() if f.is_file()}
     told = {r["file"]: r for r in manifest.collect()}
     assert set(files) == set(told) and len(files) > 1 and not any(f.startswith(".") for f in files)
     for name, content in files.items():
         assert hashlib.sha256(content).hexdigest() == told[name]["sha256"] and len(content) == told[name]["bytes"]
         assert gzip.decompress(content).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    assert sorted(map(str, warc.read_warc(warc.open_manifest(spark, folder), folder).collect())) == sorted(map(str, rows))  # by the folder alone
     again = fresh_path(spark, "warc-again")
     twin = {r["file"]: r["sha256"] for r in warc.write_warc(pages.repartition(7), again, roll_bytes=600, shard_bytes=20_000).collect()}
     assert twin == {k: v["sha256"] for k, v in told.items()}  # the rows alone decide the bytes
 
 
+@pytest.mark.parametrize("shards", [2, 7, 300, 5000])
+def test_shards_are_even_ranges_of_ids(spark, shards):
+    light = spark.range(1000).selectExpr("id * 7 as page_id")
+    cuts = warc._cuts(light, 1000, shards)
+    assert len(cuts) == min(shards, 1000) - 1 and cuts == sorted(set(cuts))
+    rows = light.unionByName(spark.createDataFrame([(None,), (-5,)], "page_id long")).withColumn("shard", warc.shard_of(cuts)).collect()
+    assert all(r["shard"] == (sum(c <= r["page_id"] for c in cuts) if r["page_id"] is not None else 0) for r in rows)
+    sizes = np.bincount([r["shard"] for r in rows])
+    assert sizes.max() <= 1000 // shards + 3
+
+
 def test_warc_of_nothing(spark):
     folder = fresh_path(spark, "warc-none")
     manifest = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder)
