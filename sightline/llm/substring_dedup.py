@@ -185,7 +185,7 @@ def add_batch(index: RunStore, batch: DataFrame, rows: int, window: int = WINDOW
     posted = batch.select("doc_id", F.explode("anchors").alias("anchor"))
     several = F.when(F.min("doc_id") < F.max("doc_id"), 2).otherwise(1)
     added = {
-        "texts": index.write("texts", batch.select("doc_id", "seq", "blob"), rows),
+        "texts": index.write("texts", batch.select("doc_id", "seq", "blob"), 24 * rows),
         "anchors": index.write("anchors", posted.groupBy("anchor").agg(F.min("doc_id").alias("least"), several.alias("holders")), 24 * rows),
     }
     with merging(index.spark):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sightline.llm import kernels as K
 from sightline.plans.store import materialize
 
-LONGEST, CHUNK = 24, 50_000
+CHUNK = 50_000
 #: verdict, host, path prefix, as shown in the result.
 RULES = [("allow", "org", "/", "org/"), ("block", "example.org", "/es/", "example.org/es/"), ("block", "example.org", "/en/1", "example.org/en/1"), ("allow", "com", "/fr/", "com/fr/"), ("block", "com", "/de/", "com/de/")]
 _runs = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
@@ -52,21 +52,34 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """Most likely split of a run of letters under a unigram model."""
+    """Most likely split of a run of letters under a unigram model, words of any length.
+
+    A known word costs the negative logarithm of its share; an unknown one as much as a word seen
+    once, and ln 10 for each letter.  Of equal costs, the longer last word wins.
+    """
+
+    LETTER = math.log(10.0)
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: -math.log(c / self.total) for w, c in counts.items()}
-
-    def _word(self, word: str) -> float:
-        return self.cost.get(word, math.log(self.total) + math.log(10.0) * len(word))
+        self.lengths = sorted(set(map(len, counts)))
 
     def split(self, run: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
+        open_, since = 0.0, 0  # the cheapest start of an unknown word, less its letters so far
         for i in range(1, len(run) + 1):
-            cost, at = min((best[j] + self._word(run[j:i]), j) for j in range(max(0, i - LONGEST), i))
+            cost, at = open_ + math.log(self.total) + self.LETTER * i, since
+            for n in self.lengths:
+                if n > i:
+                    break
+                known = self.cost.get(run[i - n : i])
+                if known is not None and (best[i - n] + known, i - n) < (cost, at):
+                    cost, at = best[i - n] + known, i - n
             best.append(cost)
             back.append(at)
+            if cost - self.LETTER * i < open_:
+                open_, since = cost - self.LETTER * i, i
         words, i = [], len(run)
         while i:
             words.append(run[back[i] : i])
@@ -85,19 +98,26 @@ def _with_runs(batches):
         yield batch.append_column("runs", pa.array(runs, pa.list_(pa.string())))
 
 
-def _substrings(batches):
-    """(id, word) of the distinct substrings of each run that the unigram model may know."""
-    for batch in batches:
-        ids, words = [], []
-        for i, marked in zip(batch["id"].to_pylist(), batch["marked"].to_pylist(), strict=True):
-            run = marked[2:]
-            own = {run[a : a + n] for a in range(len(run)) for n in range(2, min(LONGEST, len(run) - a) + 1)}
-            ids += [i] * len(own)
-            words += own
-            if len(ids) >= CHUNK:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
-                ids, words = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+def _substrings(lengths: list[int]):
+    """(id, word) of the distinct substrings of each run that are as long as some known word."""
+
+    def run(batches):
+        for batch in batches:
+            ids, words = [], []
+            for i, marked in zip(batch["id"].to_pylist(), batch["marked"].to_pylist(), strict=True):
+                own = marked[2:]
+                for n in lengths:
+                    if n > len(own):
+                        break
+                    found = {own[a : a + n] for a in range(len(own) - n + 1)}
+                    ids += [i] * len(found)
+                    words += found
+                    if len(ids) >= CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+                        ids, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+
+    return run
 
 
 def _cut(total: int):
@@ -123,11 +143,12 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     runs = materialize(slots.groupBy("marked").agg(F.count("told").alias("n"), blocks).withColumn("id", F.monotonically_increasing_id()), "runs")
 
     seen_text = [F.lower(path_of())] + ([F.lower(F.regexp_replace("html", "<[^>]*>", " "))] if "html" in pages.columns else [])
-    said = pages.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", *seen_text), F.lit("(?<![a-z])([a-z]{2,24})(?![a-z])"), F.lit(1))).alias("word"))
+    said = pages.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", *seen_text), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     unigrams = materialize(said.groupBy("word").agg(F.count("*").alias("n")), "counts")
     total = unigrams.agg(F.sum("n")).first()[0] or 0
+    lengths = sorted(r[0] for r in unigrams.select(F.length("word")).distinct().collect())
     latin = runs.filter(F.col("marked").rlike("^..[a-z]")).select("id", "marked")
-    known = latin.mapInArrow(_substrings, "id long, word string").join(unigrams.hint("merge"), "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = latin.mapInArrow(_substrings(lengths), "id long, word string").join(unigrams.hint("merge"), "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     cut = runs.join(known.hint("merge"), "id", "left").select("id", "marked", "n", "block", "known")
     cut = materialize(cut.mapInArrow(_cut(total), "id long, marked string, n long, block long, words array<string>"), "words")
 

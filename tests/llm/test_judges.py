@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
+import zstandard
 
 from sightline.llm import decontaminate, language_id, license_scan, url_filter
 
@@ -42,6 +46,40 @@ def test_language_id_learns_every_label(spark):
     assert all(judge(" ".join(rng.choice(ws) for _ in range(30)))[0] == k for k, ws in words.items())
 
 
+def slow_language(text, dictionaries):
+    """Sizes by the library's plain calls: one compressor a dictionary and block, no shared state."""
+    letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode() if text else b""
+    if not letters:
+        return "und", 0.0
+    raw = b" ".join([letters] * 6) if len(letters) < 128 else letters
+    sizes = {}
+    for name, held in sorted(dictionaries.items()):
+        own = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **language_id.SEARCH)
+        own.precompute_compress(compression_params=params)
+        sizes[name] = sum(len(zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+    best = min(sizes, key=lambda k: (sizes[k], k))
+    return best, 1 / sum(math.exp((sizes[best] - v) / 4.0) for v in sizes.values())
+
+
+def test_language_id_equals_brute_force_on_strange_rows(spark, no_docs):
+    """Nulls, ties, repeated rows, very long texts, clashing columns."""
+    rng = random.Random(3)
+    words = {"aa": "bala kolo mitu".split(), "bb": "strand felsig haus".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(20)), k) for i, k in enumerate(["aa", "bb"] * 40)]
+    dictionaries = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows += [(100, "bala " * 30_000, None), (101, "q", "aa"), (102, "Ω≈ç 12 __ x", "bb"), (103, None, "aa"), (104, "٣٤ ½", None), (105, "", "bb"), rows[0], (None, rows[1][1], None), (106, "Kolo-Haus", "zz")]
+    df = spark.createDataFrame([(d, t, k, "score", 1) for d, t, k in rows], "doc_id long, text string, lang string, lang_pred string, score int").repartition(2)
+    got = language_id.identify(df, dictionaries).collect()
+    assert len(got) == len(rows)
+    want = {d: slow_language(t, dictionaries) for d, t, _ in rows}
+    for r in got:
+        name, score = want[r["doc_id"]]
+        assert (r["lang_pred"], r["rejected"]) == (name, score < language_id.ACCEPT) and abs(r["score"] - score) < 1e-12
+    twins = {"one": dictionaries["aa"], "two": dictionaries["aa"]}  # a tie goes to the first and is worth a half
+    assert language_id.Classifier(twins)("bala kolo mitu bala")[:2] == ("one", 0.5)
+
+
 def test_language_id_without_anything_learned(spark, no_docs):
     assert language_id.train(no_docs) == {}
     one = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
@@ -122,6 +160,71 @@ def test_url_models_keep_every_word(spark):
     assert got[201]["p_block"] > 1.5 * got[202]["p_block"]
 
 
+def slow_split(run, counts, total):
+    """Every split's cost by plain dynamic programming over all words."""
+    cost = lambda w: -math.log(counts[w] / total) if w in counts else math.log(total) + len(w) * math.log(10)
+    best = [(0.0, ())]
+    for i in range(1, len(run) + 1):
+        best.append(min((best[j][0] + cost(run[j:i]), best[j][1] + (run[j:i],)) for j in range(i)))
+    return best[-1]
+
+
+def slow_filter(pages, rules):
+    """The whole filter by loops: unigrams, segmentation, Bayes."""
+    counts = Counter()
+    for _, url, html in pages:
+        _, path, _ = slow_rule(url)
+        counts.update(re.findall("[a-z]+", path.lower()))
+        counts.update(re.findall("[a-z]+", re.sub("<[^>]*>", " ", html or "").lower()))
+    total, tokens, told = sum(counts.values()), [], []
+    for _, url, _ in pages:
+        host, path, rule = slow_rule(url)
+        own = []
+        for mark, text in (("h:", host), ("p:", path.lower())):
+            for run in re.findall(r"[a-z]+|[0-9]+|[^\W\d_a-z]+", text):
+                own += [mark + w for w in (("#",) if run[0].isdigit() else slow_split(run, counts, total)[1])]
+        tokens.append(own)
+        told.append(rule and rule[1])
+    seen = {v: Counter(w for ws, t in zip(tokens, told) if t == v for w in ws) for v in ("allow", "block")}
+    words = set(seen["allow"]) | set(seen["block"])
+    n = {v: sum(c.values()) for v, c in seen.items()}
+    out = {}
+    for (page, url, _), own, verdict in zip(pages, tokens, told):
+        odds = math.log(told.count("block") / told.count("allow"))
+        for w in own:
+            if w in words:
+                odds += math.log((seen["block"][w] + 1) / (n["block"] + len(words) + 1)) - math.log((seen["allow"][w] + 1) / (n["allow"] + len(words) + 1))
+        out[page] = (verdict or ("block" if odds > 0 else "allow"), 1 / (1 + math.exp(-odds)), own)
+    return out
+
+
+def test_url_filter_equals_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = ["free", "casino", "garden", "news", "shop", "online", "win", "tree", "river", "de", "a", "x" * 30]
+    glue = lambda k: "".join(rng.choice(vocabulary) for _ in range(k))
+    urls = [None, "", "nothing", "http://com/de/", "http://e.com/fr/x" + "y" * 3000, "http://ORG/Ünï/7"]
+    urls += [f"http://{glue(2)}.{rng.choice(['org', 'com', 'info', 'example.org'])}/{rng.choice(['de', 'fr', 'es', 'x'])}/{glue(rng.randrange(1, 4))}/{rng.randrange(99)}" for _ in range(70)]
+    pages = [(i, u, f"<p>{' '.join(rng.choice(vocabulary) for _ in range(12))}</p>") for i, u in enumerate(urls)]
+    rows = pages + [pages[9]]
+    df = spark.createDataFrame([(*p, "h", 1.0) for p in rows], "page_id long, url string, html string, host string, weight double").repartition(3)
+    got = url_filter.filter_urls(df).collect()
+    want = slow_filter(rows, url_filter.RULES)
+    assert len(got) == len(rows)
+    for r in got:
+        verdict, p, words = want[r["page_id"]]
+        assert (r["verdict"], r["words"]) == (verdict, words) and abs(r["p_block"] - p) < 1e-9
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+
+
+def test_a_very_long_run_is_split_in_time():
+    cut = url_filter.Segmenter({"free": 50, "casino": 40, "a": 5, "e" * 40: 2})
+    assert cut.split("free" + "z" * 20_000 + "e" * 40) == ("free", "z" * 20_000, "e" * 40)
+    for run in ("freecasino", "afreeze", "casinocasinoa", "zzfreezz", "e" * 50):
+        counts = {"free": 50, "casino": 40, "a": 5, "e" * 40: 2}
+        cost = lambda ws: sum(-math.log(counts[w] / 97) if w in counts else math.log(97) + len(w) * math.log(10) for w in ws)
+        assert abs(cost(cut.split(run)) - slow_split(run, counts, 97)[0]) < 1e-9
+
+
 def test_segmenter_prefers_known_words():
     cut = url_filter.Segmenter({"free": 50, "casino": 40, "online": 30, "a": 5})
     assert cut.split("freecasinoonline") == ("free", "casino", "online")
