@@ -7,7 +7,7 @@ columns of ``documents``.  Decisions take effect:
 2. MinHash near-dedup keeps the least id of every group of near copies (five-word shingles);
 3. substring dedup removes repeated passages of 50 words and drops documents left without words;
 4. benchmark decontamination drops documents that hold a passage of a test item;
-5. best-fit packing cuts what is left into sequences.
+5. best-fit packing cuts what is left into sequences, with their token ids.
 
 Rows with a null id pass stages 1 to 4 unless their text is rejected; an id that is repeated with
 several texts is judged by all of them.
@@ -59,7 +59,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
