@@ -44,7 +44,9 @@ def near_hashes(left: DataFrame, right: DataFrame, d: int, hash_: str = "hash")
     """Distinct (a, b, distance) with a from the left, b from the right and distance <= d."""
     if d > MAX_DISTANCE:
         raise ValueError(f"keys don't tell hashes apart beyond {MAX_DISTANCE} bits; use a smaller distance")
-    sides = [materialize(df.select(F.col(hash_).alias(n)).filter(f"{n} is not null").distinct(), "hashes") for df, n in ((left, "a"), (right, "b"))]
+    once = lambda df: materialize(df.select(F.col(hash_).alias("h")).filter("h is not null").distinct(), "hashes")
+    sides = [once(left)]
+    sides = [sides[0].withColumnRenamed("h", "a"), (sides[0] if right is left else once(right)).withColumnRenamed("h", "b")]
     m = blocks_to_agree(max(s.count() for s in sides), d)
     posted = [s.select(n, F.explode(keys(F.col(n), d, m)).alias("k")) for s, n in zip(sides, ("a", "b"), strict=True)]
     found = posted[0].join(posted[1], "k").select("a", "b").withColumn("distance", distance(F.col("a"), F.col("b")))
@@ -68,11 +70,15 @@ def near_links(df: DataFrame, d: int, id_: str, hash_: str = "hash") -> DataFram
 
 
 def near_any(candidates: DataFrame, protected: DataFrame, d: int, views: str = "views", hash_: str = "hash") -> DataFrame:
-    """Candidates of whose view hashes any lies within d bits of a protected hash."""
-    hit = near_hashes(candidates.select(F.explode(views).alias(hash_)), protected, d, hash_).select("a").distinct()
-    keyed = candidates.withColumn("_id", F.sha2(F.to_json(F.struct(*candidates.columns)), 256))
-    near = keyed.select("_id", F.explode(views).alias("a")).join(hit, "a", "left_semi").select("_id").distinct()
-    return keyed.join(near, "_id", "left_semi").drop("_id")
+    """Candidates of whose view hashes any lies within d bits of a protected hash.
+
+    Candidates are told apart by their views alone, since equal views are near the same hashes.
+    """
+    each = candidates.select(F.col(views).alias("_views")).filter(F.size("_views") > 0).distinct()
+    posted = materialize(each.select("_views", F.explode("_views").alias("a")), "views")
+    hit = near_hashes(posted.select(F.col("a").alias(hash_)), protected, d, hash_).select("a").distinct()
+    near = posted.join(hit, "a", "left_semi").select("_views").distinct()
+    return candidates.join(near, F.col(views) == F.col("_views"), "left_semi")
 
 
 def near_test(df: DataFrame, d: int, split: str = "split", hash_: str = "hash") -> DataFrame:

@@ -24,19 +24,47 @@ def precision_recall(labels: DataFrame, preds: DataFrame, iou: float, by: tuple[
     return counted.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
-def at_thresholds(preds: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Every prediction once for each threshold it reaches; the thresholds come from a list, not a range of doubles."""
-    return preds.withColumn("threshold", F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col("conf"))))
+def at_levels(preds: DataFrame, thresholds: list[float], keys: list[str]) -> DataFrame:
+    """Predictions with ``level``, a place in the rising thresholds at which what a group keeps changes.
+
+    A prediction reaches the first ``level`` thresholds.  Between two levels of a group nothing
+    changes, so it is matched once a level and not once a threshold.
+    """
+    grid = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
+    placed = preds.withColumn("_reach", F.size(F.filter(grid, lambda t: t <= F.col("conf")))).filter("_reach > 0")
+    levels = placed.groupBy(*keys).agg(F.array_sort(F.collect_set("_reach")).alias("_levels"))
+    return placed.join(levels, keys).withColumn("level", F.explode(F.filter("_levels", lambda x: x <= F.col("_reach")))).drop("_reach", "_levels")
+
+
+def over_thresholds(counts: DataFrame, thresholds: list[float], keys: list[str], by: list[str], values: list[str]) -> DataFrame:
+    """(by, threshold, values): sums of what (keys, level) counts say, at every threshold.
+
+    A count holds from the group's level before, without it, to its own.  Only its differences are
+    summed, and then run along the thresholds.
+    """
+    below = F.coalesce(F.lag("level").over(W.partitionBy(*keys).orderBy("level")), F.lit(0))
+    edges = F.array(F.struct((F.col("_from") + 1).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("level") + 1).alias("at"), F.lit(-1).alias("sign")))
+    moved = counts.withColumn("_from", below).withColumn("_e", F.explode(edges)).groupBy(*by, F.col("_e.at").alias("at")).agg(*[F.sum(F.col(v) * F.col("_e.sign")).alias(v) for v in values])
+    grid = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(sorted(thresholds), 1)])
+    every = moved.select(*by).distinct().withColumn("_g", F.explode(grid)).select(*by, "_g.at", "_g.threshold")
+    up = W.partitionBy(*by).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return every.join(moved, [*by, "at"], "left").select(*by, "threshold", *[F.sum(F.coalesce(v, F.lit(0))).over(up).alias(v) for v in values])
 
 
 def pr_curve(labels: DataFrame, preds: DataFrame, iou: float, thresholds: list[float]) -> DataFrame:
-    """Precision and recall of each class at each threshold; matching is done anew at each."""
-    spark = labels.sparkSession
-    grid = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    found = precision_recall(labels, at_thresholds(preds, thresholds), iou, ("threshold",))
-    total = labels.groupBy("label").agg(F.count("*").alias("labels"))
-    both = F.broadcast(grid).crossJoin(total).join(found, ["threshold", "label"], "full_outer")
-    return both.select("threshold", "label", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), F.coalesce("fn", "labels").alias("fn"), "precision", F.coalesce("recall", F.when(F.col("labels") > 0, 0.0)).alias("recall"))
+    """Precision and recall of each class at each threshold."""
+    keys = ["image_id", "label"]
+    mine = materialize(at_levels(preds, thresholds, keys), "levels")
+    tp = M.match_same_class(labels, mine, iou, ("level",)).groupBy("image_id", F.col("l_label").alias("label"), "level").agg(F.count("*").alias("tp"))
+    counts = mine.groupBy(*keys, "level").agg(F.count("*").alias("np")).join(tp, [*keys, "level"], "left").fillna(0, ["tp"])
+    found = over_thresholds(counts, thresholds, keys, ["label"], ["np", "tp"])
+    total = labels.groupBy("label").agg(F.count("*").alias("nl"))
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    told = total.withColumn("threshold", grid).join(found, ["label", "threshold"], "full_outer").fillna(0, ["nl", "np", "tp"])
+    ratio = lambda n, d: F.when(d > 0, n / d)
+    fp, fn = F.col("np") - F.col("tp"), F.col("nl") - F.col("tp")
+    kept = told.filter("nl > 0 or np > 0")
+    return kept.select("threshold", "label", "tp", fp.alias("fp"), fn.alias("fn"), ratio(F.col("tp"), F.col("np")).alias("precision"), ratio(F.col("tp"), F.col("nl")).alias("recall"))
 
 
 def threshold_range(start: float, stop: float, step: float) -> list[float]:

@@ -8,22 +8,24 @@ from pyspark.sql import Window as W
 
 from sightline.operators import matching as M
 from sightline.operators import metrics as X
+from sightline.plans.store import materialize
 
 
 def set_costs(labels: DataFrame, preds: DataFrame, sets: DataFrame, iou: float, thresholds: list[float], scored: str, fp_cost: float, fn_cost: float) -> DataFrame:
     """(set_name, threshold, tp, fp, fn, images, cost) of one class; ``sets`` is (image_id, set_name).
 
-    Matching is done anew at each threshold, and counted by image before it is summed by set.
+    An image is matched anew wherever a threshold changes what it keeps, and counted before it is
+    summed by set.
     """
     own = M.restrict(labels, [scored])
-    mine = X.at_thresholds(M.restrict(preds, [scored]), thresholds)
-    tp = M.match_boxes(own, mine, iou, ("threshold",)).filter("same").groupBy("image_id", "threshold").agg(F.count("*").alias("tp"))
-    np_ = mine.groupBy("image_id", "threshold").agg(F.count("*").alias("np"))
-    grid = labels.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    mine = materialize(X.at_levels(M.restrict(preds, [scored]), thresholds, ["image_id"]), "levels")
+    tp = M.match_boxes(own, mine, iou, ("level",)).filter("same").groupBy("image_id", "level").agg(F.count("*").alias("tp"))
+    counts = mine.groupBy("image_id", "level").agg(F.count("*").alias("np")).join(tp, ["image_id", "level"], "left").fillna(0, ["tp"])
+    found = X.over_thresholds(counts.join(sets, "image_id"), thresholds, ["image_id"], ["set_name"], ["np", "tp"])
     images = sets.groupBy("set_name").agg(F.count("*").alias("images"))
     there = own.join(sets, "image_id").groupBy("set_name").agg(F.count("*").alias("nl"))
-    found = np_.join(tp, ["image_id", "threshold"], "left").join(sets, "image_id").groupBy("set_name", "threshold").agg(F.sum("np").alias("np"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
-    out = images.crossJoin(F.broadcast(grid)).join(there, "set_name", "left").join(found, ["set_name", "threshold"], "left").fillna(0, ["nl", "np", "tp"])
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    out = images.withColumn("threshold", grid).join(there, "set_name", "left").join(found, ["set_name", "threshold"], "left").fillna(0, ["nl", "np", "tp"])
     fp, fn = F.col("np") - F.col("tp"), F.col("nl") - F.col("tp")
     return out.select("set_name", "threshold", "tp", fp.alias("fp"), fn.alias("fn"), "images", ((fp_cost * fp + fn_cost * fn) / F.col("images")).alias("cost"))
 

@@ -103,7 +103,7 @@ def precision_recall(spark, d):
     return out.select("label", "tp", "fp", "fn", X.round6("precision").alias("precision"), X.round6("recall").alias("recall"))
 
 
-GRID = [0.2, 0.5, 0.8, 0.95, 2.0]
+GRID = X.threshold_range(0.05, 0.95, 0.05)
 CURVE = S.greedy_sql("m", f"SELECT * FROM (SELECT *, unnest([{', '.join(map(str, GRID))}])::DOUBLE AS t FROM ({PAIRS} WHERE l.label = p.label)) WHERE iou >= 0.5 AND conf >= t", "image_id, t", "iou DESC, label_ix, pred_ix")
 
 
@@ -232,7 +232,7 @@ GROUPS = f"""{S.SQL['docs']}, edges AS (
 
 
 def _images(spark, d):
-    return _docs(spark, d).withColumn("source_name", F.col("text"))
+    return _docs(spark, d).withColumnRenamed("content", "source_name")
 
 
 @query("leak_groups", f"WITH RECURSIVE {GROUPS} SELECT file_name, unit FROM units")
@@ -476,7 +476,7 @@ def match_keys(spark, d):
     return S.table(spark, d, "pages").select("page_id", N.match_key(F.concat("url", F.lit("_jpg.rf.0123456789abcdef0123456789abcdef.JPG"))).alias("key"))
 
 
-STEPS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+STEPS = X.threshold_range(0.05, 0.95, 0.01)
 COST = S.greedy_sql("m", f"SELECT * FROM (SELECT *, unnest([{', '.join(map(str, STEPS))}])::DOUBLE AS t FROM ({PAIRS} WHERE l.label = 'fuel' AND p.label = 'fuel')) WHERE iou > 0.5 AND conf >= t", "image_id, t", "iou DESC, label_ix, pred_ix")
 COSTS = f"""{S.SQL['pd']}, {S.SQL['images']}, {COST}, st AS (SELECT image_id, CASE WHEN unit IN ('u1', 'u2', 'u3', 'u4', 'u5') THEN 'near' ELSE 'far' END AS set_name FROM images),
 g AS (SELECT unnest([{', '.join(map(str, STEPS))}])::DOUBLE AS threshold), ni AS (SELECT set_name, count(*) AS images FROM st GROUP BY 1),
@@ -546,9 +546,9 @@ def review_counts(spark, d):
     return D.review_counts(sample, verdicts, ["doc_id"], ["toxic", "good", "poor"])
 
 
-EXPORT = f"""{COPIES}, ex AS (SELECT file_name, split, coalesce(h, '') AS h FROM im LEFT JOIN hist USING (image_id) WHERE image_id % 2 = 1),
+EXPORT = f"""{COPIES}, ex AS (SELECT file_name, split, coalesce(h, '') AS h FROM im LEFT JOIN hist USING (image_id) ),
 xp AS (SELECT CASE WHEN image_id % 43 = 0 THEN 'new' ELSE '' END || file_name AS source_name, CASE WHEN image_id % 31 = 0 THEN 'train' ELSE split END AS split, CASE WHEN image_id % 29 = 0 THEN '' ELSE coalesce(h, '') END AS h
-  FROM im LEFT JOIN hist USING (image_id) WHERE image_id % 2 = 1 AND image_id % 23 <> 0 UNION ALL SELECT file_name, split, coalesce(h, '') FROM im LEFT JOIN hist USING (image_id) WHERE image_id % 2 = 1 AND image_id % 47 = 0 AND image_id % 43 <> 0),
+  FROM im LEFT JOIN hist USING (image_id) WHERE image_id % 23 <> 0 UNION ALL SELECT file_name, split, coalesce(h, '') FROM im LEFT JOIN hist USING (image_id) WHERE image_id % 47 = 0 AND image_id % 43 <> 0),
 kx AS (SELECT replace(source_name, '.rf.x.jpg', '') AS k, *, row_number() OVER (PARTITION BY source_name ORDER BY split, h) AS i FROM xp), ke AS (SELECT replace(file_name, '.rf.x.jpg', '') AS k, * FROM ex)"""
 
 
@@ -558,8 +558,7 @@ UNION ALL SELECT 'extra', source_name, NULL, kx.split FROM kx LEFT JOIN ke ON ke
 UNION ALL SELECT 'moved', file_name, ke.split, kx.split FROM kx JOIN ke ON ke.k = kx.k WHERE i = 1 AND kx.split <> ke.split
 UNION ALL SELECT 'boxes_changed', file_name, ke.split, kx.split FROM kx JOIN ke ON ke.k = kx.k WHERE i = 1 AND kx.h <> ke.h""")
 def reconcile_export(spark, d):
-    gt, every = _gt(spark, d), _copy_images(spark, d)
-    im = every.filter("image_id % 2 = 1")  # as the SQL does
+    gt, im = _gt(spark, d), _copy_images(spark, d)
     hist = gt.groupBy("image_id", "label").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("histogram"))
     none = F.array().cast("array<struct<label:string,n:bigint>>")
     full = im.join(hist, "image_id", "left").withColumn("histogram", F.coalesce("histogram", none))
@@ -568,7 +567,7 @@ def reconcile_export(spark, d):
         F.concat(F.when(i % 43 == 0, "new").otherwise(""), "file_name").alias("source_name"), F.when(i % 31 == 0, "train").otherwise(F.col("split")).alias("split"), F.when(i % 29 == 0, none).otherwise(F.col("histogram")).alias("histogram"),
     )
     twice = full.filter((i % 47 == 0) & (i % 43 != 0)).select(F.col("file_name").alias("source_name"), "split", "histogram")
-    R.check_keys(every)
+    R.check_keys(full)
     return R.compare_export(full, back.union(twice))
 
 

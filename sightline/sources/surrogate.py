@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sightline.plans.store import materialize
+
 WIDTH, HEIGHT = 1280, 960
 
 
@@ -55,10 +57,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, dataset, split, file_name, text, hash): a 64-bit hash of word buckets as the perceptual hash."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("dataset"))
+    """(doc_id, dataset, split, file_name, content, hash): a 64-bit hash of word buckets as the perceptual hash.
+
+    Computed from the texts once and written; ``content`` is their SHA-256.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content"), F.col("source").alias("dataset"))
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)"), F.lit(1))).alias("w"))
-    buckets = words.groupBy("doc_id", (F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % 64).alias("b")).agg(F.count("*").alias("n"))
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring("h", i, 1)) - 1
+    buckets = words.select("doc_id", F.md5("w").alias("h")).groupBy("doc_id", (digit(1) % 4 * 16 + digit(2)).alias("b")).agg(F.count("*").alias("n"))
     per = buckets.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     per = per.withColumn("a", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0))))
     ranked = F.array_sort("a")
@@ -66,7 +72,8 @@ def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(F.col("a")[b] > F.col("mid"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
     hashes = per.select("doc_id", bits.alias("hash"))
     split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 8, "valid").otherwise("test")
-    return docs.join(hashes, "doc_id", "left").select("doc_id", "dataset", split.alias("split"), F.concat(F.lit("d"), "doc_id", F.lit(".jpg")).alias("file_name"), "text", F.coalesce("hash", F.lit(0)).alias("hash"))
+    joined = docs.drop("text").join(hashes, "doc_id", "left").select("doc_id", "dataset", split.alias("split"), F.concat(F.lit("d"), "doc_id", F.lit(".jpg")).alias("file_name"), "content", F.coalesce("hash", F.lit(0)).alias("hash"))
+    return materialize(joined, "hashed")
 
 
 _GT = """k AS (

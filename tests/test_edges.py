@@ -51,6 +51,13 @@ def test_numbers_need_a_source(spark):
     assert sorted((r["line"], r["number"]) for r in report.unsourced_numbers(docs, sources).collect()) == [(1, "12%"), (8, "7.25")]
 
 
+def test_numbers_that_stand_alone(spark):
+    lines = ["took 3.5ms, 12%abc or 0.25.", "v1.5 x1.5 1.2.3 1..2 .5 a.5 5 50 7%", "(0.5) 0.75/0.80 -1.25 1.5% 2%% https://a/b/0.9 see http://c?0.8 0.7", "`a` 0.6 `0.1` [t](u/0.3) 0.2 [x 0.4"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", report.numbers_in(report._prose(F.col("t")))).collect()}
+    assert got == {0: ["3.5", "12%", "0.25"], 1: ["7%"], 2: ["0.5", "0.75", "0.80", "1.25", "1.5%", "0.7"], 3: ["0.6", "0.2", "0.4"]}
+
+
 def test_a_left_out_image_brings_in_the_next(spark):
     images = spark.createDataFrame([("d", "train", f"{i}.jpg", f"s{i}") for i in range(20)], "dataset string, split string, file_name string, source_name string")
     full = [r["file_name"] for r in stats.grid_order(images, 6, "x").orderBy("place").collect()]
