@@ -1,25 +1,37 @@
 """Percentile intervals by resampling whole units.
 
-Which units a resample holds is drawn on the driver, or given as (resample, unit, times).  Images
-are matched once; a resample only repeats their facts, so recall is a sum of products.  Average
-precision repeats the facts by a position, in two-level windows keyed by resample and class.
+A resample draws as many units as there are, with replacement, by a hash of its number and the
+place; so what it holds is (resample, unit, times), the same on every engine.  Images are matched
+once and never repeated: recall is a sum of products, and average precision runs along the
+predictions in order of confidence for many resamples at once, with a unit's times as weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from sightline.operators import metrics as X
+from sightline.plans.indexing import with_index
+from sightline.plans.store import materialize
 
+#: Confidences are cut into a bin for every BIN_ROWS predictions.  A task takes a bin and RESAMPLES
+#: resamples, and holds BLOCK predictions at once.
+BIN_ROWS, RESAMPLES, BLOCK = 4096, 250, 8192
 
-def draw(spark: SparkSession, units: list[str], resamples: int, seed: int) -> DataFrame:
-    """(resample, pos, unit) with as many units a resample as there are, drawn with replacement in unit order."""
-    import numpy as np
 
-    rng, names = np.random.default_rng(seed), sorted(units)
-    rows = [(n, pos, names[g]) for n in range(resamples) for pos, g in enumerate(rng.integers(0, len(names), len(names)).tolist())]
-    return spark.createDataFrame(rows, "resample int, pos int, unit string")
+def draw(units: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """(resample, unit, times): how often each of the distinct units of ``unit`` is drawn, zero left out."""
+    spark = units.sparkSession
+    named = with_index(units.select("unit").distinct(), "ix", "unit")
+    n = named.count()
+    pos = F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    places = spark.range(resamples).select(F.col("id").cast("int").alias("resample"), pos.alias("pos")) if n else spark.createDataFrame([], "resample int, pos int")
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("resample").cast("string"), F.col("pos").cast("string")), 256)
+    ix = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.lit(max(1, n))
+    return places.withColumn("ix", ix).groupBy("resample", "ix").agg(F.count("*").alias("times")).join(named, "ix").select("resample", "unit", "times")
 
 
 def unit_facts(units: DataFrame, labels: DataFrame, matched: DataFrame) -> DataFrame:
@@ -36,14 +48,71 @@ def recalls(facts: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def average_precisions(facts: DataFrame, labels: DataFrame, units: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(resample, label, iou_at, ap) from scored predictions (see metrics.score_order) and (resample, pos, unit).
+    """(resample, label, iou_at, ap) from scored predictions (see metrics.score_order) and (resample, unit, times).
 
-    Ties in confidence follow the position of the unit in the resample, then image and prediction.
+    Ties in confidence follow image and prediction; a unit drawn twice counts twice in place.
+    Resamples without a label of the class are absent.
     """
-    rows = facts.join(units, "image_id").join(drawn, "unit").withColumn("image_id", F.struct("pos", "image_id"))
-    totals = labels.join(units, "image_id").groupBy("unit", "label").agg(F.count("*").alias("n")).join(drawn, "unit").groupBy("resample", "label").agg(F.sum("n").alias("n"))
-    ious = [r[0] for r in facts.select("iou_at").distinct().collect()]
-    return X.average_precision(None, None, ious, by=("resample",), facts=rows, totals=totals)
+    keys = ["label", "iou_at"]
+    rows = materialize(facts.join(units, "image_id"), "facts")
+    bins = max(16, -(-rows.count() // BIN_ROWS))
+    rows = rows.withColumn("bin", F.floor(-F.col("conf") * bins).cast("long"))
+    n = labels.join(units, "image_id").groupBy("label", "unit").agg(F.count("*").alias("n")).join(drawn, "unit").groupBy("resample", "label").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    totals = materialize(n.filter("n > 0"), "totals")
+    by_unit = rows.groupBy(*keys, "bin", "unit").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")).join(drawn, "unit")
+    weights = F.collect_list(F.struct("unit", "times")).alias("ws")
+    sums = by_unit.groupBy(*keys, "bin", "resample").agg(F.sum(F.col("tp") * F.col("times")).alias("btp"), F.sum(F.col("n") * F.col("times")).alias("bn"), weights)
+    before = W.partitionBy(*keys, "resample").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    at = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c[1:] + "0")
+    begun = sums.select(*keys, "bin", "resample", at("btp"), at("bn"), "ws").join(totals, ["resample", "label"])
+    begun = materialize(begun.withColumn("chunk", F.floor(F.col("resample") / RESAMPLES).cast("int")), "starts")
+    # a bin's predictions meet the starts and weights of a chunk of resamples
+    held = rows.join(begun.select(*keys, "bin", "chunk").distinct(), [*keys, "bin"]).select(*keys, "bin", (F.col("chunk") + 0).alias("chunk"), "conf", F.col("image_id").cast("string").alias("image"), "pred_ix", "unit", "tp")
+    tops = lambda later: _walk(held, begun if later is None else begun.join(later, [*keys, "bin", "resample"]), later is not None)
+    peak = materialize(tops(None), "peaks")
+    after = W.partitionBy(*keys, "resample").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
+    later = peak.select(*keys, "bin", "resample", F.coalesce(F.max("value").over(after), F.lit(0.0)).alias("later"))
+    area = tops(later).groupBy("resample", *keys).agg((F.sum("value") / 101).alias("ap"))
+    every = totals.select("resample", "label").join(facts.select(*keys).distinct(), "label")
+    return every.join(area, ["resample", *keys], "left").select("resample", *keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def _walk(held: DataFrame, begun: DataFrame, last: bool) -> DataFrame:
+    """(label, iou_at, bin, resample, value): a bin's best precision, or at ``last`` its part of the area."""
+    schema = pa.schema([("label", pa.string()), ("iou_at", pa.float64()), ("bin", pa.int64()), ("resample", pa.int32()), ("value", pa.float64())])
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        label, iou, bin_, _ = (k.as_py() for k in key)
+        order = left.select(["image", "pred_ix"]).to_pandas().assign(conf=-left["conf"].to_numpy()).sort_values(["conf", "image", "pred_ix"], kind="stable").index.to_numpy()
+        resample, lists = right["resample"].to_numpy(), right["ws"].combine_chunks()
+        names, codes = np.unique(left["unit"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        told = lists.flatten()
+        who = np.searchsorted(names, told.field("unit").to_numpy(zero_copy_only=False).astype(str))
+        times = np.zeros((len(names), len(resample)))
+        times[who, np.repeat(np.arange(len(resample)), np.diff(lists.offsets.to_numpy()))] = told.field("times").to_numpy()
+        own, hits = codes[order], left["tp"].to_numpy()[order]
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(order), BLOCK)]
+        ctp0, cn0 = [right["tp0"].to_numpy().astype(float)], [right["n0"].to_numpy().astype(float)]
+        for b in blocks:  # what has run before each block
+            ctp0.append(ctp0[-1] + np.bincount(own[b], weights=hits[b], minlength=len(names)) @ times)
+            cn0.append(cn0[-1] + np.bincount(own[b], minlength=len(names)) @ times)
+        value, best = np.zeros(len(resample)), right["later"].to_numpy() if last else np.zeros(len(resample))
+        for n, b in reversed(list(enumerate(blocks))):
+            w = times[own[b]]
+            tp = hits[b][:, None] * w
+            ctp, cn = ctp0[n] + np.cumsum(tp, axis=0), cn0[n] + np.cumsum(w, axis=0)
+            precision = np.divide(ctp, cn, out=np.zeros_like(cn), where=(cn > 0) & (w > 0))
+            hull = np.maximum(np.maximum.accumulate(precision[::-1], axis=0)[::-1], best)
+            best = hull[0]
+            if last:
+                total = right["n"].to_numpy()
+                points = lambda c: np.where(c > 0, c * 100 // total + 1, 0)
+                value += (hull * (points(ctp) - points(ctp - tp))).sum(axis=0)
+        value = value if last else best
+        return pa.Table.from_arrays([pa.array([label] * len(value), pa.string()), pa.array([iou] * len(value), pa.float64()), pa.array([bin_] * len(value), pa.int64()), pa.array(resample, pa.int32()), pa.array(value, pa.float64())], schema=schema)
+
+    groups = ["label", "iou_at", "bin", "chunk"]
+    return held.groupBy(*groups).cogroup(begun.groupBy(*groups)).applyInArrow(run, "label string, iou_at double, bin long, resample int, value double")
 
 
 def percentile_interval(values: DataFrame, value: str, level: float, by: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is a group-by minimum (combined map-side) and an equi-join, so a hub node is never
-gathered in one task.  Rounds are written to shared storage; their number is logarithmic in the
+Each round is a group-by minimum, combined map-side, and an equi-join with one row a node on one
+side.  The edges of a hub meet that row in one partition, which streams and is split where it is
+large (adaptive skew joins); they are never a group in memory.  Rounds are written to shared storage; their number is logarithmic in the
 longest path.  Nodes may be of any orderable type; the label of a component is its least node.
 """
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from sightline.functions import geometry as G
 from sightline.operators import matching as M
+from sightline.plans.store import materialize
 
 
 class CountMismatch(ValueError):
@@ -35,17 +36,31 @@ def slice_scores(slices: DataFrame, labels: DataFrame, preds: DataFrame, matched
     return out.select("by", "name", "images", "labeled", "hits", fp.alias("false_positives"), (F.col("labeled") - F.col("hits")).alias("misses"), ratio(F.col("hits"), F.col("np")).alias("precision"), ratio(F.col("hits"), F.col("labeled")).alias("recall"), (fp / F.col("images")).alias("fp_per_image"))
 
 
-def check_totals(found: DataFrame, published: DataFrame, on: str = "label") -> None:
-    """Raises where (tp, fp, fn) differ from what a run published."""
+def totals_differ(found: DataFrame, published: DataFrame, on: str = "label") -> DataFrame:
+    """Classes whose (tp, fp, fn) aren't what a run published, as p_tp, p_fp, p_fn."""
     cols = ["tp", "fp", "fn"]
     both = found.select(on, *cols).join(published.select(on, *[F.col(c).alias(f"p_{c}") for c in cols]), on, "full_outer")
     same = F.lit(True)
     for c in cols:
         same = same & F.equal_null(c, f"p_{c}")
-    if bad := both.filter(~same).limit(20).collect():
+    return both.filter(~same)
+
+
+def check_totals(found: DataFrame, published: DataFrame, on: str = "label") -> None:
+    if bad := totals_differ(found, published, on).limit(20).collect():
         raise CountMismatch(f"counts differ for {[r[on] for r in bad]}")
 
 
+def checked_slices(scores: DataFrame) -> DataFrame:
+    """The scores, written; raises unless the slices of every kind add up to the whole."""
+    scores = materialize(scores, "slices")
+    cols = ["images", "labeled", "hits", "false_positives"]
+    sums = scores.groupBy("by").agg(*[F.sum(c).alias(c) for c in cols])
+    if sums.select(*cols).distinct().count() > 1:
+        raise CountMismatch(f"slices don't add up: {sums.collect()}")
+    return scores
+
+
 def size_rows(images: DataFrame, labels: DataFrame, preds: DataFrame, matched: DataFrame, small: float, medium: float) -> DataFrame:
     """(bucket, labeled, hits, recall, false_positives): labels and misses by the label's size, false positives by their own."""
     def bucket(df):

@@ -12,6 +12,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sightline.plans.store import materialize
 
@@ -61,6 +62,12 @@ def near_pairs(df: DataFrame, d: int, id_: str, hash_: str = "hash") -> DataFram
     return out.filter("id_a < id_b").select("id_a", "id_b", "distance")
 
 
+def pairs_between(left: DataFrame, right: DataFrame, d: int, id_: str, hash_: str = "hash") -> DataFrame:
+    """(id_a, id_b, distance) of all pairs of a row of the left and one of the right within d bits."""
+    sides = [df.select(F.col(id_).alias(i), F.col(hash_).alias(h)) for df, i, h in ((left, "id_a", "a"), (right, "id_b", "b"))]
+    return near_hashes(left, right, d, hash_).join(sides[0], "a").join(sides[1], "b").select("id_a", "id_b", "distance")
+
+
 def near_links(df: DataFrame, d: int, id_: str, hash_: str = "hash") -> DataFrame:
     """Edges that connect what ``near_pairs`` connects, without expanding groups of equal hashes."""
     least = df.filter(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("h")).agg(F.min(id_).alias("rep"))
@@ -121,6 +128,14 @@ def summarize_pairs(pairs: DataFrame, refs: DataFrame, id_: str) -> DataFrame:
     return _by_sides(both.withColumn("n", F.lit(1)))
 
 
+def pair_examples(pairs: DataFrame, refs: DataFrame, id_: str, n: int) -> DataFrame:
+    """(kind, id_a, id_b): the first n pairs of each kind, in order of their ids."""
+    side = lambda c, k: refs.select(F.col(id_).alias(c), F.col("dataset").alias(f"d{k}"), F.col("split").alias(f"s{k}"))
+    both = pairs.join(side("id_a", "a"), "id_a").join(side("id_b", "b"), "id_b")
+    told = both.select(pair_kind(F.col("da"), F.col("db"), F.col("sa"), F.col("sb")).alias("kind"), "id_a", "id_b")
+    return told.withColumn("_n", F.row_number().over(W.partitionBy("kind").orderBy("id_a", "id_b"))).filter(F.col("_n") <= n).drop("_n")
+
+
 def _by_sides(both: DataFrame) -> DataFrame:
     a, b = F.concat_ws("/", "da", "sa"), F.concat_ws("/", "db", "sb")
     told = both.select(pair_kind(F.col("da"), F.col("db"), F.col("sa"), F.col("sb")).alias("kind"), F.least(a, b).alias("side_a"), F.greatest(a, b).alias("side_b"), "n")

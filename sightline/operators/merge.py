@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sightline.functions import names as N
 
@@ -43,16 +42,16 @@ def plan_merge(images: DataFrame, train_only: list[str], exclude: str | None = N
     reason or else the group's first; then the other copies, excluded names and blocked images go.
     Test images are never excluded.
     """
-    group = W.partitionBy("dataset", "copy_key")
-    shared = F.when(F.col("copy_key").isNotNull(), F.min("reason").over(group))
+    first = images.filter("copy_key is not null").groupBy("dataset", "copy_key").agg(F.min("reason").alias("_shared")).filter("_shared is not null")
+    rows = images.join(first, ["dataset", "copy_key"], "left").select(*images.columns, "_shared")  # images without a key meet no group
     split = F.when(F.col("dataset").isin(train_only), F.lit("train")).otherwise(F.col("split"))
     listed = F.col("file_name").isin(list(exclude_files)) if exclude_files else F.lit(False)
     excluded = (split != "test") & (listed if exclude is None else listed | N.matches(F.col("source_name"), exclude))
-    own = F.coalesce("reason", F.when(F.col("split") == "train", shared))
+    own = F.coalesce("reason", F.when(F.col("split") == "train", F.col("_shared")))
     copy = F.when(F.col("copy_key").isNotNull() & (F.col("split") == "train"), F.when(own.isNotNull(), own).when(~F.col("keep"), "copy"))
     blocked = F.when(F.col("dataset").isin(train_only), F.col("reason"))
     drop = F.coalesce(copy, F.when(excluded, "excluded"), blocked)
-    return images.withColumn("drop_reason", drop).withColumn("target_split", split).withColumn("merged_name", N.merged_name(F.col("dataset"), F.col("file_name")))
+    return rows.withColumn("drop_reason", drop).drop("_shared").withColumn("target_split", split).withColumn("merged_name", N.merged_name(F.col("dataset"), F.col("file_name")))
 
 
 def drop_exact(planned: DataFrame, content_sha: str = "sha256") -> DataFrame:

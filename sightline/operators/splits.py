@@ -122,3 +122,21 @@ def split_summary(assigned: DataFrame) -> DataFrame:
     """(split, images, units, largest_unit, dropped) of every split."""
     unit = assigned.groupBy("split", "unit").agg(F.count_if(F.col("dropped").isNull()).alias("n"), F.count_if(F.col("dropped").isNotNull()).alias("gone"))
     return unit.groupBy("split").agg(F.sum("n").alias("images"), F.count_if(F.col("n") > 0).alias("units"), F.max("n").alias("largest_unit"), F.sum("gone").alias("dropped"))
+
+
+def split_report(assigned: DataFrame, reasons: list[str], copy_key: str | None = None) -> DataFrame:
+    """(section, name, other, n) of a split: images dropped by reason, zeros kept; where each source split's images
+    went; and with ``copy_key`` how many groups of copies have each size.
+
+    Images have source_split, split and dropped (a reason or null).
+    """
+    none = F.lit("")
+    told = F.explode(F.array(*[F.lit(r) for r in reasons])).alias("name")
+    count = assigned.groupBy(F.col("dropped").alias("name")).agg(F.count("*").alias("n"))
+    out = assigned.sparkSession.range(1).select(told).join(count, "name", "left").select(F.lit("dropped").alias("section"), "name", none.alias("other"), F.coalesce("n", F.lit(0)).alias("n"))
+    went = F.when(F.col("dropped").isNull(), F.col("split")).otherwise("dropped")
+    out = out.union(assigned.groupBy(F.col("source_split").alias("name"), went.alias("other")).agg(F.count("*").alias("n")).select(F.lit("from_source_split"), "name", "other", "n"))
+    if copy_key:
+        sizes = assigned.filter(F.col(copy_key).isNotNull()).groupBy(copy_key).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+        out = out.union(sizes.select(F.lit("copy_group_size"), F.col("size").cast("string"), none, "n"))
+    return out

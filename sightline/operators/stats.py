@@ -114,3 +114,11 @@ def grid_order(images: DataFrame, n: int, seed: str, exclude_files: tuple[str, .
         kept = kept.filter(~N.matches(F.col("source_name"), exclude_pattern))
     place = F.row_number().over(W.partitionBy("dataset").orderBy("_h", "split", "file_name"))
     return kept.withColumn("place", place).filter(F.col("place") <= n).select("dataset", "split", "file_name", "place")
+
+
+def shared_classes(images: DataFrame, boxes: DataFrame, trained: list[str]) -> DataFrame:
+    """(dataset, label) of the labelled classes that a model was trained on; raises if there is none at all."""
+    found = boxes.filter(F.col("label").isin(trained)).join(images.select("image_id", "dataset"), "image_id").select("dataset", "label").distinct()
+    if not found.limit(1).count():
+        raise UnmappedLabel(f"no labelled class is among {trained}")
+    return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.config import ConfigError, Project, SplitMethod
 from sightline.functions import names as N
-from sightline.operators import bootstrap, hamming, matching, merge, metrics, splits, stats
+from sightline.operators import bootstrap, hamming, matching, merge, metrics, splits, stats, threshold
 from sightline.plans.store import materialize
 from sightline.sources import files
 
@@ -58,23 +58,58 @@ class HeldOutLeak(ValueError):
     """A training image is a near duplicate of a held-out one."""
 
 
-def check_train_apart(planned: DataFrame, protected: DataFrame, d: int) -> None:
-    """Raises if a merged training image has a view within d bits of a test or protected image; valid ones are left out."""
+def near_held(planned: DataFrame, protected: DataFrame, d: int) -> DataFrame:
+    """Merged training images with a view within d bits of a test or protected image; valid ones are left out."""
     kept = planned.filter("drop_reason is null")
     held = kept.filter("target_split = 'test'").select(F.col("views")[0].alias("hash")).union(protected.select("hash"))
-    n = hamming.near_any(kept.filter("target_split = 'train'"), held, d).count()
-    if n:
+    return hamming.near_any(kept.filter("target_split = 'train'"), held, d)
+
+
+def check_train_apart(planned: DataFrame, protected: DataFrame, d: int) -> None:
+    if n := near_held(planned, protected, d).count():
         raise HeldOutLeak(f"{n} training images are near held-out images")
 
 
-def check_field_test(images: DataFrame, field: DataFrame, d: int) -> None:
-    """Raises if a field image equals an image byte for byte or is near one of its views."""
+def field_matches(images: DataFrame, field: DataFrame, d: int) -> DataFrame:
+    """(file_name) of images that equal a field image byte for byte or have a view near one."""
     same = images.join(field.select("sha256"), "sha256", "left_semi").select("file_name")
     near = hamming.near_any(images.select("file_name", "views"), field, d).select("file_name")
-    if n := same.union(near).distinct().count():
+    return same.union(near).distinct()
+
+
+def check_field_test(images: DataFrame, field: DataFrame, d: int) -> None:
+    if n := field_matches(images, field, d).count():
         raise HeldOutLeak(f"{n} images match field-test images")
 
 
+def image_units(images: DataFrame, method: SplitMethod | None, d: int) -> DataFrame:
+    """Images with the unit that the split kept together: themselves, their recording, or their group of related images.
+
+    Groups are rebuilt from the images alone; whole groups went to one split, so a split's images
+    give the same ones.
+    """
+    if method is None:
+        return images.withColumn("unit", F.col("file_name"))
+    if method.method != "temporal":
+        return splits.leak_groups(images, method.recording_pattern, d)
+    out = images.withColumn("unit", N.group_of(F.col("source_name"), method.recording_pattern, "recording"))
+    if lost := out.filter("unit is null").agg(F.min("source_name")).first()[0]:
+        raise ConfigError(f"{lost!r} does not match the recording pattern")
+    return out
+
+
+def check_units(units: DataFrame, recorded: int, limited: bool = False) -> None:
+    """Raises if there aren't as many units as the split recorded; a limited run has fewer by design."""
+    n = units.select("unit").distinct().count()
+    if not limited and n != recorded:
+        raise ConfigError(f"{n} units were rebuilt, the split recorded {recorded}")
+
+
+def limited(images: DataFrame, n: int | None) -> DataFrame:
+    """The first n images by file name, for a trial run; all without a limit."""
+    return images if n is None else images.orderBy("file_name").limit(n)
+
+
 def merge_sources(images: DataFrame, boxes: DataFrame, protected: DataFrame, held_scenes: DataFrame, patterns: list[tuple[str, str, bool]], project: Project) -> DataFrame:
     """The merge plan of all sources: blocked images are found, copies resolved, and the result checked.
 
@@ -137,15 +172,39 @@ def score(labels: DataFrame, preds: DataFrame, classes: list[str], confidence: f
 
 
 def intervals(labels: DataFrame, preds: DataFrame, units: DataFrame, confidence: float, drawn: DataFrame, level: float, iou: float = 0.5) -> DataFrame:
-    """(label, metric, low, high) of recall and AP50 over resampled units."""
+    """(label, metric, low, high) of recall and AP50 over resampled units; ``drawn`` is (resample, unit, times)."""
     matched = matching.match_same_class(labels, matching.above(preds, confidence), iou)
-    times = drawn.groupBy("resample", "unit").agg(F.count("*").alias("times"))
-    recall = bootstrap.recalls(bootstrap.unit_facts(units, labels, matched), times)
+    recall = bootstrap.recalls(bootstrap.unit_facts(units, labels, matched), drawn)
     ap = bootstrap.average_precisions(metrics.score_order(labels, preds, [iou]), labels, units, drawn)
     both = recall.select("label", F.lit("recall").alias("metric"), F.col("recall").alias("v")).union(ap.select("label", F.lit("map50"), "ap"))
     return bootstrap.percentile_interval(both, "v", level, ["label", "metric"])
 
 
+def choose_threshold(labels: DataFrame, preds: DataFrame, sets: DataFrame, held: DataFrame, units: DataFrame, project: Project, scored: str, fp_cost: float = 3, fn_cost: float = 1, band: float = 0.05) -> DataFrame:
+    """One row: threshold, cost, band_low, band_high, neutral_threshold, neutral_cost, recall_low, recall_high.
+
+    The threshold of least mean cost over the tuning ``sets`` (image_id, set_name), the band of
+    thresholds as good, the cost at the neutral confidence, and the interval of recall at the chosen
+    threshold on the ``held`` (image_id) images.
+    """
+    cfg, grid = project.evaluate, project.threshold.grid.values
+    neutral = cfg.confidence
+    steps = sorted({*grid, neutral})
+    every = materialize(threshold.mean_costs(threshold.set_costs(labels, preds, sets, cfg.iou, steps, scored, fp_cost, fn_cost)), "costs")
+    costs = every.filter(F.col("threshold").isin(grid))
+    best = threshold.pick_threshold(costs).first()
+    low, high = threshold.flat_band(costs, band).first()
+    at_neutral = every.filter(F.col("threshold") == neutral).first()["cost"]
+    own = matching.restrict(labels, [scored]).join(held, "image_id", "left_semi")
+    hot = matching.above(matching.restrict(preds, [scored]), best["threshold"]).join(held, "image_id", "left_semi")
+    kept = units.join(held, "image_id", "left_semi")
+    facts = bootstrap.unit_facts(kept, own, matching.match_same_class(own, hot, cfg.iou))
+    found = bootstrap.recalls(facts, bootstrap.draw(kept, cfg.resamples, str(project.seed)))
+    interval = bootstrap.percentile_interval(found, "recall", cfg.level, ["label"])
+    told = [F.lit(v).alias(n) for n, v in (("threshold", best["threshold"]), ("cost", best["cost"]), ("band_low", low), ("band_high", high), ("neutral_threshold", neutral), ("neutral_cost", at_neutral))]
+    return interval.select(*told, F.col("low").alias("recall_low"), F.col("high").alias("recall_high"))
+
+
 def evaluate(images: DataFrame, labels: DataFrame, preds: DataFrame, pred_images: DataFrame, units: DataFrame, labeled: list[str], trained: list[str], project: Project) -> dict[str, DataFrame]:
     """All reports of one run: the scored classes are limited first, then aligned, then the edge rule holds.
 
@@ -163,6 +222,5 @@ def evaluate(images: DataFrame, labels: DataFrame, preds: DataFrame, pred_images
         there, own = matching.ignore_at_edge(there, own, images, edge, cfg.edge.tolerance_px, cfg.edge.min_overlap, cfg.iou)
     there, own = materialize(there, "labels"), materialize(own, "preds")
     out = score(there, own, scored, cfg.confidence, cfg.iou, cfg.curve.values)
-    names = [r[0] for r in units.select("unit").distinct().collect()]
-    drawn = bootstrap.draw(images.sparkSession, names, cfg.resamples, project.seed)
+    drawn = bootstrap.draw(units, cfg.resamples, str(project.seed))
     return out | {"per_image_limit": limit, "units": matching.unit_counts(units, there), "intervals": intervals(there, own, units, cfg.confidence, drawn, cfg.level, cfg.iou)}

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, without a trailing slash."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="sightline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         configured = f"file://{own}"

@@ -132,9 +132,13 @@ def _ap_sql(ious: list[float]) -> str:
 SELECT label, iou_at, round(sum(hull * (ctp * 100 // n - (ctp - 1) * 100 // n + CASE WHEN ctp = 1 THEN 1 ELSE 0 END)) / 101, 6) AS ap FROM h JOIN n USING (label) WHERE tp = 1 GROUP BY ALL"""
 
 
-@query("average_precision", _ap_sql([0.5, 0.75]))
+#: The ten thresholds of the COCO protocol.
+IOUS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
+
+
+@query("average_precision", _ap_sql(IOUS))
 def average_precision(spark, d):
-    return X.average_precision(_gt(spark, d), _pd(spark, d, None), [0.5, 0.75]).select("label", "iou_at", X.round6("ap").alias("ap"))
+    return X.average_precision(_gt(spark, d), _pd(spark, d, None), IOUS).select("label", "iou_at", X.round6("ap").alias("ap"))
 
 
 @query("topk_predictions", f"""WITH {S.SQL['pd']} SELECT image_id, pred_ix, label, conf FROM pd
@@ -515,18 +519,20 @@ def held_out_parts(spark, d):
     return T.held_out_parts(S.images(spark, d), F.when(N.matches(F.col("unit"), "u1"), "near").otherwise("far"))
 
 
-TIMES = "times AS (SELECT r.resample, u.unit, ('0x' || substr(sha256(r.resample || ':' || u.unit), 1, 2))::INT % 3 AS times FROM (SELECT unnest(range(20))::INT AS resample) r CROSS JOIN (SELECT DISTINCT unit FROM images) u)"
+#: What each of 1,000 resamples draws.
+TIMES = """us AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS ix, count(*) OVER () AS g FROM (SELECT DISTINCT unit FROM {units})),
+times AS (SELECT resample, unit, count(*) AS times FROM (
+  SELECT r.resample, ('0x' || substr(sha256('{seed}:' || r.resample || ':' || p.ix), 1, 12))::BIGINT % p.g AS place FROM (SELECT unnest(range(1000))::INT AS resample) r CROSS JOIN us p
+) JOIN us ON us.ix = place GROUP BY ALL)"""
+RECALLS = """n AS (SELECT unit, label, count(*) AS n FROM gt JOIN images USING (image_id) GROUP BY ALL), tp AS (SELECT unit, l_label AS label, count(*) AS tp FROM m JOIN images USING (image_id) GROUP BY ALL),
+r AS (SELECT resample, label, sum(coalesce(tp, 0) * times) / sum(n * times) AS recall FROM n LEFT JOIN tp USING (unit, label) JOIN times USING (unit) GROUP BY ALL HAVING sum(n * times) > 0)"""
 
 
-@query("bootstrap_recall", f"""WITH RECURSIVE {S.SQL['pd']}, {S.SQL['images']}, {SAME}, {TIMES},
-n AS (SELECT unit, label, count(*) AS n FROM gt JOIN images USING (image_id) GROUP BY ALL), tp AS (SELECT unit, l_label AS label, count(*) AS tp FROM m JOIN images USING (image_id) GROUP BY ALL),
-r AS (SELECT resample, label, sum(coalesce(tp, 0) * times) / sum(n * times) AS recall FROM n LEFT JOIN tp USING (unit, label) JOIN times USING (unit) GROUP BY ALL HAVING sum(n * times) > 0)
+@query("bootstrap_recall", f"""WITH RECURSIVE {S.SQL['pd']}, {S.SQL['images']}, {SAME}, {TIMES.format(units='images', seed=2026)}, {RECALLS}
 SELECT label, round(quantile_cont(recall, 0.025), 6) AS low, round(quantile_cont(recall, 0.975), 6) AS high FROM r GROUP BY 1""")
 def bootstrap_recall(spark, d):
     gt, pd, units = _gt(spark, d), _pd(spark, d), S.images(spark, d).select("image_id", "unit")
-    byte = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("resample").cast("string"), "unit"), 256), 1, 2), 16, 10).cast("int")
-    times = spark.range(20).select(F.col("id").cast("int").alias("resample")).crossJoin(units.select("unit").distinct()).withColumn("times", byte % 3)
-    found = BS.recalls(BS.unit_facts(units, gt, M.match_same_class(gt, pd, 0.5)), times)
+    found = BS.recalls(BS.unit_facts(units, gt, M.match_same_class(gt, pd, 0.5)), BS.draw(units, 1000, "2026"))
     return BS.percentile_interval(found, "recall", 0.95, ["label"]).select("label", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -616,19 +622,33 @@ def sheet_picks(spark, d):
     return ST.sheet_picks(_copy_images(spark, d), _gt(spark, d), 12)
 
 
-def _sized_ap_sql(lo: float, hi: float) -> str:
-    area = lambda a: f"(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) >= {lo} AND ({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) < {hi})"
-    pairs = PAIRS.replace("p.conf,", f"p.conf, NOT {area('l')} AS out,")
-    walk = S.greedy_sql("m", f"SELECT * FROM ({pairs} WHERE l.label = p.label) WHERE iou >= 0.5", "image_id, l_label", "conf DESC, pred_ix, out, iou DESC, label_ix")
-    return f"""WITH RECURSIVE {S.SQL['pd']}, {walk}, f AS (
-  SELECT p.label, p.conf, p.image_id, p.pred_ix, CASE WHEN m.pred_ix IS NULL THEN 0 ELSE 1 END AS tp FROM pd p LEFT JOIN m ON m.image_id = p.image_id AND m.pred_ix = p.pred_ix
-  WHERE CASE WHEN m.pred_ix IS NULL THEN {area('p')} ELSE NOT m.out END
-), c AS (SELECT *, sum(tp) OVER w AS ctp, count(*) OVER w AS cn FROM f WINDOW w AS (PARTITION BY label ORDER BY conf DESC, image_id, pred_ix ROWS UNBOUNDED PRECEDING)
-), h AS (SELECT *, max(ctp / cn) OVER (PARTITION BY label ORDER BY conf, image_id DESC, pred_ix DESC ROWS UNBOUNDED PRECEDING) AS hull FROM c
-), n AS (SELECT label, count(*) AS n FROM gt l WHERE {area('l')} GROUP BY 1)
-SELECT label, 0.5::DOUBLE AS iou_at, round(sum(hull * (ctp * 100 // n - (ctp - 1) * 100 // n + CASE WHEN ctp = 1 THEN 1 ELSE 0 END)) / 101, 6) AS ap FROM h JOIN n USING (label) WHERE tp = 1 GROUP BY ALL"""
+#: Areas of small, medium and large boxes.
+SIZES = {"small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e18)}
+
 
+def _sized_ap_sql() -> str:
+    at = ", ".join(map(str, IOUS))
+    z = "z AS (SELECT unnest(['small', 'medium', 'large']) AS size, unnest([0.0, 1024.0, 9216.0])::DOUBLE AS lo, unnest([1024.0, 9216.0, 1e18])::DOUBLE AS hi)"
+    area = lambda a: f"(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) >= z.lo AND ({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) < z.hi)"
+    pairs = PAIRS.replace("p.conf,", f"p.conf, z.size, NOT {area('l')} AS out,").replace("SELECT l.image_id", "SELECT l.image_id", 1) + " CROSS JOIN z"
+    walk = S.greedy_sql("m", f"SELECT * FROM (SELECT *, unnest([{at}])::DOUBLE AS iou_at FROM ({pairs} WHERE l.label = p.label)) WHERE iou >= iou_at", "image_id, l_label, size, iou_at", "conf DESC, pred_ix, out, iou DESC, label_ix")
+    return f"""WITH RECURSIVE {S.SQL['pd']}, {z}, {walk}, f AS (
+  SELECT z.size, g.iou_at, p.label, p.conf, p.image_id, p.pred_ix, CASE WHEN m.pred_ix IS NULL THEN 0 ELSE 1 END AS tp FROM pd p CROSS JOIN z CROSS JOIN (SELECT unnest([{at}])::DOUBLE AS iou_at) g
+  LEFT JOIN m ON m.image_id = p.image_id AND m.pred_ix = p.pred_ix AND m.size = z.size AND m.iou_at = g.iou_at WHERE CASE WHEN m.pred_ix IS NULL THEN {area('p')} ELSE NOT m.out END
+), c AS (SELECT *, sum(tp) OVER w AS ctp, count(*) OVER w AS cn FROM f WINDOW w AS (PARTITION BY size, iou_at, label ORDER BY conf DESC, image_id, pred_ix ROWS UNBOUNDED PRECEDING)
+), h AS (SELECT *, max(ctp / cn) OVER (PARTITION BY size, iou_at, label ORDER BY conf, image_id DESC, pred_ix DESC ROWS UNBOUNDED PRECEDING) AS hull FROM c
+), n AS (SELECT size, label, count(*) AS n FROM gt l, z WHERE {area('l')} GROUP BY ALL
+), a AS (SELECT size, label, iou_at, sum(hull * (ctp * 100 // n - (ctp - 1) * 100 // n + CASE WHEN ctp = 1 THEN 1 ELSE 0 END)) / 101 AS ap FROM h JOIN n USING (size, label) WHERE tp = 1 GROUP BY ALL)
+SELECT size, label, round(sum(coalesce(ap, 0)) / {len(IOUS)}, 6) AS ap FROM n LEFT JOIN a USING (size, label) GROUP BY ALL"""
 
-@query("average_precision_by_size", _sized_ap_sql(1024.0, 9216.0))
+
+@query("average_precision_by_size", _sized_ap_sql())
 def average_precision_by_size(spark, d):
-    return X.average_precision(_gt(spark, d), _pd(spark, d, None), [0.5], (1024.0, 9216.0)).select("label", "iou_at", X.round6("ap").alias("ap"))
+    gt, pd, out = _gt(spark, d), _pd(spark, d, None), None
+    for size, area in SIZES.items():
+        own = X.average_precision(gt, pd, IOUS, area).groupBy("label").agg(X.round6(F.avg("ap")).alias("ap")).select(F.lit(size).alias("size"), "label", "ap")
+        out = own if out is None else out.union(own)
+    return out
+
+
+import sightline.queries_jobs  # noqa: E402,F401  registers what runs whole jobs, sources and sinks

@@ -59,9 +59,9 @@ def write_lines(rows: DataFrame, order: list[str], path: str) -> None:
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{stage}/part-*"))[0].getPath()
     fs.mkdirs(to.getParent())
-    fs.delete(to, False)
-    if not fs.rename(part, to):
-        raise OSError(f"can't rename {part} to {path}")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE  # the old file is there until the new one is
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, to, over)
     fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
 
 
@@ -167,8 +167,8 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """One CSV file with a header, also where there is no row."""
     head = ",".join(df.columns)
     lines = df.select(F.lit(1).alias("section"), *order, F.to_csv(F.struct(*df.columns)).alias("line"))
-    empty = lines.limit(0).schema
-    top = df.sparkSession.createDataFrame([(0, *[None] * len(order), head)], empty) if order else None
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)  # nullable, whatever the columns are
+    top = df.sparkSession.createDataFrame([(0, *[None] * len(order), head)], kind)
     write_lines(lines.unionByName(top), ["section", *order], path)
 
 

@@ -172,16 +172,42 @@ def test_threshold_grid_pick_and_band(spark):
 def test_bootstrap_without_variation_gives_the_score(spark, mixed):
     labels, preds = mixed
     units = spark.createDataFrame([("1", "u1"), ("2", "u2"), ("3", "u3")], "image_id string, unit string")
-    once = spark.createDataFrame([(r, p, f"u{p + 1}") for r in range(3) for p in range(3)], "resample int, pos int, unit string")
+    once = spark.createDataFrame([(r, f"u{p + 1}", 1) for r in range(3) for p in range(3)], "resample int, unit string, times long")
     facts = metrics.score_order(labels, preds, [0.5])
     ap = metrics.average_precision(labels, preds, [0.5]).first()["ap"]
     assert {round(r["ap"], 9) for r in bootstrap.average_precisions(facts, labels, units, once).collect()} == {round(ap, 9)}
-    times = once.selectExpr("resample", "unit", "1 times")
-    rec = bootstrap.recalls(bootstrap.unit_facts(units, labels, matching.match_same_class(labels, preds, 0.5)), times)
+    rec = bootstrap.recalls(bootstrap.unit_facts(units, labels, matching.match_same_class(labels, preds, 0.5)), once)
     got = bootstrap.percentile_interval(rec, "recall", 0.95, ["label"]).first()
     assert got["low"] == got["high"] == pytest.approx(2 / 3)
-    drawn = bootstrap.draw(spark, ["b", "a"], 50, 7)
-    assert drawn.count() == 100 and bootstrap.draw(spark, ["a", "b"], 50, 7).collect() == drawn.collect()
+    drawn = bootstrap.draw(units, 50, "7")
+    assert drawn.groupBy("resample").agg({"times": "sum"}).distinct().collect()[0][1] == 3 and drawn.count() > 75
+    assert sorted(bootstrap.draw(units.repartition(3), 50, "7").collect()) == sorted(drawn.collect())
+
+
+def test_average_precision_of_resamples_equals_repeating_them(spark):
+    """Weights give what rows repeated as often as their unit was drawn give."""
+    import random
+
+    rng = random.Random(4)
+    facts = [(f"i{i % 30:02}", rng.choice(["a", "b"]), i, round(rng.random(), 2), 0.5, int(rng.random() < 0.6)) for i in range(200)]
+    labels = [(f"i{i % 30:02}", label) for i in range(260) for label in ("a", "b")]
+    units = [(f"i{i:02}", f"u{i % 7}") for i in range(30)]
+    drawn = [(r, f"u{u}", rng.randrange(1, 4)) for r in range(9) for u in range(7) if rng.random() < 0.6]
+    frame = spark.createDataFrame
+    got = bootstrap.average_precisions(frame(facts, "image_id string, label string, pred_ix long, conf double, iou_at double, tp long"), frame(labels, "image_id string, label string"), frame(units, "image_id string, unit string"), frame(drawn, "resample int, unit string, times long"))
+    own, want = dict(units), {}
+    for r in range(9):
+        times = {u: t for n, u, t in drawn if n == r}
+        for label in ("a", "b"):
+            n = sum(times.get(own[i], 0) for i, k in labels if k == label)
+            rows = [f for f in sorted((f for f in facts if f[1] == label), key=lambda f: (-f[3], f[0], f[2])) for _ in range(times.get(own[f[0]], 0))]
+            ctp, points = 0, []
+            for k, f in enumerate(rows, 1):
+                ctp += f[5]
+                points.append((ctp / n, ctp / k))
+            if n:
+                want[r, label] = sum(max((p for c, p in points if c >= t / 100 - 1e-12), default=0.0) for t in range(101)) / 101
+    assert {(x["resample"], x["label"]): round(x["ap"], 9) for x in got.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
 def test_gallery_alternates_and_spreads(spark):

@@ -127,7 +127,7 @@ def test_scores_and_intervals_of_a_split(spark):
     units = spark.createDataFrame([("1", "a"), ("2", "b")], "image_id string, unit string")
     from sightline.operators import bootstrap
 
-    got = jobs.intervals(gt, pd, units, 0.5, bootstrap.draw(spark, ["a", "b"], 20, 1), 0.95).collect()
+    got = jobs.intervals(gt, pd, units, 0.5, bootstrap.draw(units, 20, "1"), 0.95).collect()
     assert {(r["label"], r["metric"]) for r in got} == {(c, m) for c in ("fuel", "robot") for m in ("recall", "map50")} and all(r["low"] == r["high"] == 1.0 for r in got)
 
 
