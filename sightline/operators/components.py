@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.plans.store import materialize
+from sightline.plans.store import materialize, settled
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Null ends and self loops are dropped.  Raises if ``max_rounds`` do not reach the fixpoint.
     """
+    return settled(edges.sparkSession, "components", lambda: _components(edges, src, dst, max_rounds))
+
+
+def _components(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
     now = materialize(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(now)
