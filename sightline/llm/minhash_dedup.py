@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 from sightline.operators.components import connected_components
-from sightline.plans.store import bounded, materialize
+from sightline.plans.store import bounded, materialize, settled
 
 COORDS, MATCHES, SHORT, BLOCK, BROADCAST_IDS, KEPT_SETS = 64, 38, 32, 1024, 1_000_000, 64
 _FACTORS = K.mix(np.arange(1, 2 * COORDS + 1, dtype=K.U64) * K.U64(0x9E3779B97F4A7C15))
@@ -229,6 +229,10 @@ def _blocks(rows: DataFrame, block: int, *more: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
+    return settled(docs.sparkSession, "near", lambda: _near_duplicates(docs, k, percent, short, block))
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, short: int, block: int) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _sketch(k)
     base = materialize(text.mapInArrow(run, schema), "sketch")

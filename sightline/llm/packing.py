@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
 
     def run(batches):
         encode = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4")
+        end, squeeze = np.array([end_id], dtype="<u4"), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows, keep = [], []
@@ -209,13 +210,22 @@ def _pieces(tokenizer: str, room: int, end_id: int, with_ids: bool):
                         own = raw[4 * a : 4 * b]
                         rows.append((doc, n, a, b - a, zlib.crc32(own)))
                         if with_ids:
-                            keep.append(own)
+                            keep.append(squeeze(own))
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=False)]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(keep, pa.binary())] if with_ids else []), schema=schema)
 
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
 
+def _opened(batches):
+    """The last column as it was before it was squeezed."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(open_, part.column(part.num_columns - 1).to_pylist()), pa.binary())], schema=part.schema)
+
+
 def _pack(room: int, base: int = 0):
     """Packs a block's pieces anew; those of later rounds come in bins, which stay if that needs more."""
 
@@ -247,7 +257,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: in
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece.
 
     ``ids`` holds little-endian unsigned 32-bit ids.  They don't travel through the rounds of
-    packing: they are joined to the result once.
+    packing: they are kept and joined to the result compressed.
     """
     run, schema = _pieces(tokenizer, room, end_id, with_ids)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -255,7 +265,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: in
     if with_ids:
         pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
         packed = _packed(pieces.drop("ids"), room, block)
-        return packed.join(pieces.select("uid", "ids"), "uid").drop("uid")
+        joined = packed.join(pieces.select("uid", "ids"), "uid").drop("uid")
+        return joined.mapInArrow(_opened, joined.schema)
     return _packed(materialize(pieces, "pieces"), room, block)
 
 

@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.plans.store import fresh_path
+from sightline.plans.store import delete, fresh_path, tidy
 from sightline.sources.files import list_files
 
 #: A bucket of a new level holds about so many rows of its first run, and there are so many at least.
@@ -47,11 +47,11 @@ class RunStore:
     one may be null.
     """
 
-    def __init__(self, spark: SparkSession, levels: dict[str, tuple[str, list[str], dict[str, str]]], path: str | None = None):
+    def __init__(self, spark: SparkSession, levels: dict[str, tuple[str, list[str], dict[str, str]]], path: str | None = None, private: bool = False):
         self.spark, self.levels, self.path = spark, levels, path or fresh_path(spark, "runs")
         self.state: dict[str, dict] = {name: {"buckets": 0, "runs": []} for name in levels}
         self.tables: dict[str, str] = {}
-        self.version = 0
+        self.version, self.private = 0, private
         known = list_files(spark, f"{self.path}/manifest-*.json")
         if known:
             self.version = int(known[-1].rsplit("-", 1)[1].removesuffix(".json"))
@@ -78,7 +78,8 @@ class RunStore:
         state["buckets"] = state["buckets"] or max(LEAST_BUCKETS, -(-expected // BUCKET_ROWS))
         run = f"run-{level}-{uuid.uuid4().hex}"
         names = [f.split()[0] for f in kind.split(", ")]
-        rows.select(*names).repartition(state["buckets"], *keys).write.insertInto(self._table(level, run))
+        with tidy(self.spark):
+            rows.select(*names).repartition(state["buckets"], *keys).write.insertInto(self._table(level, run))
         return run
 
     def commit(self, added: dict[str, str]) -> None:
@@ -111,7 +112,10 @@ class RunStore:
         return out
 
     def compact(self, level: str, max_runs: int) -> None:
-        """One run instead of more than ``max_runs``.  Old files stay, so running readers are not disturbed."""
+        """One run instead of more than ``max_runs``.
+
+        Old files stay, so that running readers are not disturbed, unless the store is private.
+        """
         runs = self.state[level]["runs"]
         if len(runs) <= max_runs:
             return
@@ -119,6 +123,9 @@ class RunStore:
             whole = self.write(level, self._merged(level, runs), 0)
         self.state[level] = {"buckets": self.state[level]["buckets"], "runs": [whole]}
         self._write_manifest()
+        for run in runs if self.private else []:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}")
+            delete(self.spark, f"{self.path}/{run}")
 
     def beside(self, level: str, run: str) -> DataFrame:
         """The rows of a new run, with what earlier runs say of their keys in columns ``old_...``, null if nothing."""

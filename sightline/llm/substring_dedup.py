@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 from sightline.llm.runs import RunStore, merging
-from sightline.plans.store import materialize
+from sightline.plans.store import materialize, settled
 
 #: A table is indexed in BATCHES ranges of ids; a batch meets MAX_RUNS runs of a level at most.
 WINDOW, GRAM, BATCHES, MAX_RUNS = 50, 10, 3, 1
@@ -180,6 +180,10 @@ def add_batch(index: RunStore, batch: DataFrame, rows: int, window: int = WINDOW
     Returns (doc_id, seq, n_removed, kept_text, kept_sha256) of the documents that lose words.  A
     batch that is given again, as after a crash, gives the same result.
     """
+    return settled(index.spark, "partly", lambda: _add_batch(index, batch, rows, window, gram, max_runs))
+
+
+def _add_batch(index: RunStore, batch: DataFrame, rows: int, window: int, gram: int, max_runs: int) -> DataFrame:
     for level in ("anchors", "windows"):
         index.compact(level, max_runs)
     posted = batch.select("doc_id", F.explode("anchors").alias("anchor"))
@@ -213,7 +217,7 @@ def add_batch(index: RunStore, batch: DataFrame, rows: int, window: int = WINDOW
     hits = new.mapInArrow(run, schema).join(repeated, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
     run, schema = _removed(window, gram)
     out = materialize(new.select("doc_id", "seq", "blob", "anchors").join(hits, "doc_id").mapInArrow(run, schema), "partly")
-    index.commit(added)
+    index.commit(added)  # only now, so that a crash before leaves the index as it was
     return out
 
 
@@ -223,6 +227,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     The table goes through the index in ``batches`` ranges of ids, the smallest ids first.  With an
     index that holds earlier documents, these are seen, and only ``docs`` are judged.
     """
+    return settled(docs.sparkSession, "substrings", lambda: _substring_dedup(docs, window, gram, batches, index, max_runs))
+
+
+def _substring_dedup(docs: DataFrame, window: int, gram: int, batches: int, index: RunStore | None, max_runs: int) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _scan(window, gram)
@@ -231,7 +239,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     classes = materialize(full.groupBy("seq").agg(F.min("doc_id").alias("least")), "classes")
     low, high, rows = classes.agg(F.min("least"), F.max("least"), F.count("*")).first()
     indexed = full.select("doc_id", "seq", "anchors", "blob").join(classes.select("seq", F.col("least").alias("doc_id")), ["seq", "doc_id"], "left_semi")
-    own, parts = index or open_index(spark), []
+    own, parts = index or RunStore(spark, LEVELS, private=True), []
     edges = [low + (high - low + 1) * i // batches for i in range(batches)] + [high + 1] if low is not None else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if a < b:
