@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -77,15 +78,48 @@ def between_words(text: str, at: int) -> bool:
     return len(around) < 2 or " " in around or bool(_unspaced.search(around))
 
 
+@lru_cache(None)
+def ranges(n: int, p: int) -> tuple[tuple[int, int], ...]:
+    """The ranges of pieces around piece p, smallest first, that halving n pieces again and again gives; not p alone, not all."""
+    out, i, j = [], 0, n
+    while j - i > 1:
+        out.append((i, j))
+        mid = (i + j) // 2
+        i, j = (i, mid) if p < mid else (mid, j)
+    return tuple(out[:0:-1])
+
+
+def beside(item: str, edges: list[int], p: int) -> tuple[int, list[tuple[int, str]]]:
+    """The budget of the smallest range around piece p, and (place, part) of the range's other pieces, cut once more
+    into budget + 1 parts: one of them is near piece p unchanged if the range is within its budget."""
+    around = ranges(len(edges) - 1, p)
+    if not around:
+        return 0, []
+    (i, j) = around[0]
+    a, b = (edges[p + 1], edges[j]) if p == i else (edges[i], edges[p])
+    cut = [a + (b - a) * x // (j - i) for x in range(j - i + 1)]
+    return j - i - 1, [(x, item[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
 class Matcher:
+    """Finds a hit's item by way of growing ranges of pieces.
+
+    A range of r pieces may differ by r - 1 edits.  If it does not differ by more, one of its halves does
+    not either, so a passage is reached from one of its unchanged pieces with every range on the way
+    within its budget: a chance hit ends at the first range, and no passage is lost.
+    """
+
     def __init__(self, items: list[tuple[int | None, str]], errors: float = ERRORS, min_chars: int = MIN_CHARS):
         import ahocorasick
 
         self.items, self.errors, self.min_chars = items, errors, min_chars
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, int, int, list[tuple[int, str]]]]] = {}
+        self.edges: list[list[int]] = []
         for n, (_, item) in enumerate(items):
-            for at, piece in pieces(item, errors if len(item) >= min_chars else 0.0):
-                places.setdefault(piece, []).append((n, at))
+            cut = pieces(item, errors if len(item) >= min_chars else 0.0)
+            self.edges.append([at for at, _ in cut] + [len(item)])
+            for p, (at, piece) in enumerate(cut):
+                places.setdefault(piece, []).append((n, at, p, *beside(item, self.edges[n], p)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -93,23 +127,40 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(places)
 
+    def _plausible(self, n: int, p: int, start: int, text: str, seen: dict[tuple[int, int, int, int], bool]) -> bool:
+        """Whether every range of pieces around piece p, but for the whole item, is within its budget near its place."""
+        item, edges = self.items[n][1], self.edges[n]
+        for i, j in ranges(len(edges) - 1, p):
+            key, most, a, b = (n, i, j, start), j - i - 1, edges[i], edges[j]
+            ok = seen.get(key)
+            if ok is None:
+                ok = seen[key] = myers(item[a:b], text[max(0, start + a - most) : max(0, start + b + most)], most) is not None
+            if not ok:
+                return False
+        return True
+
     def __call__(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item_id, edits, about the start, end) of the best passage of every item within its budget."""
         found: dict[int, tuple[int, int, int]] = {}
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int, int, int], bool] = {}
         if not self.any:
             return []
         for end, (size, where) in self.automaton.iter(text):
-            for n, at in where:
-                item = self.items[n][1]
-                start, most = end + 1 - size - at, int(self.errors * len(item))
-                if found.get(n, (1,))[0] == 0 or tried.get(n) == start:
+            for n, at, p, near, parts in where:
+                start = end + 1 - size - at
+                if parts and not any(part in text[max(0, start + x - near) : max(0, start + x + len(part) + near)] for x, part in parts):
+                    continue
+                item, most = self.items[n][1], len(self.edges[n]) - 2
+                if found.get(n, (1,))[0] == 0 or (n, start) in tried:
                     continue
-                tried[n] = start
                 if len(item) < self.min_chars:
                     if between_words(text, start) and between_words(text, end + 1):
                         found[n] = (0, start, end + 1)
                     continue
+                if not self._plausible(n, p, start, text, seen):
+                    continue
+                tried.add((n, start))
                 if text.startswith(item, max(0, start)) and start >= 0:
                     found[n] = (0, start, start + len(item))
                     continue
