@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 
-ERRORS, MIN_CHARS, SLICE_CHARS = 0.07, 24, 2_000_000
+#: One replaced word in a test item of 80 characters stays within the edits.
+ERRORS, MIN_CHARS, SLICE_CHARS = 0.12, 24, 2_000_000
 _gaps = re.compile(r"[\W_]+")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 _unspaced = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")

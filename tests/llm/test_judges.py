@@ -296,3 +296,32 @@ def test_pieces_cover_an_item(errors):
     item = "the quick brown fox jumps over the lazy dog again and again"
     told = decontaminate.pieces(item, errors)
     assert "".join(p for _, p in told) == item and len(told) == int(errors * len(item)) + 1
+
+
+@pytest.mark.parametrize("errors", [0.04, 0.12, 0.3])
+def test_growing_ranges_lose_no_passage(errors):
+    rng = random.Random(int(errors * 100))
+    items = [(n, "".join(rng.choice("abcd ") for _ in range(rng.randrange(24, 90))).strip().ljust(24, "e")) for n in range(40)]
+    match, found = decontaminate.Matcher(items, errors), 0
+    for _ in range(200):
+        n, item = rng.choice(items)
+        own = list(item)
+        for _ in range(rng.randrange(int(errors * len(item)) + 3)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "bc"])
+        text = "".join(rng.choice("abcd ") for _ in range(rng.randrange(40))) + "".join(own) + "".join(rng.choice("abcd ") for _ in range(rng.randrange(40)))
+        want = {i: e for i, t in items if (e := edits(t, text)) <= int(errors * len(t))}
+        assert {i: e for i, e, *_ in match(text)} == want
+        found += len(want)
+    assert found > 60
+
+
+def test_one_replaced_word_is_found_in_the_shortest_benchmark_item():
+    rng = random.Random(4)
+    items = [(n, decontaminate.clean(prose(950 + n, 30))[:80].strip().ljust(80, "e")) for n in range(30)]
+    words = [w for _, t in items for w in t.split() if len(w) <= 9]
+    match = decontaminate.Matcher(items)
+    for n, item in items:
+        own = item.split()
+        own[rng.choice([i for i, w in enumerate(own) if len(w) <= 9])] = rng.choice(words)
+        assert n in {i for i, *_ in match(f"so {' '.join(own)} it says")}
