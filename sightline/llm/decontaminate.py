@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import kernels as K
 
-#: One replaced word in a test item of 80 characters stays within the edits.
+#: Replacing a word of up to nine letters by another such, in a test item of 80 characters, is within the edits.
 ERRORS, MIN_CHARS, SLICE_CHARS = 0.12, 24, 2_000_000
 _gaps = re.compile(r"[\W_]+")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
