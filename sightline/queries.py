@@ -466,7 +466,7 @@ def feature_quantiles(spark, d):
 SELECT event_id, len(list_filter(es, lambda c: c <= value))::INT AS bin FROM events, e""")
 def quantile_bins(spark, d):
     events = S.table(spark, d, "events")
-    edges = B.quantile_edges(events, "value", 4)
+    edges = B.quantile_edges(events, "value", 4, round_=B.half_away)
     return events.select("event_id", B.bin_index(F.col("value"), F.array(*[F.lit(e) for e in edges])).alias("bin"))
 
 

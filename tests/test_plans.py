@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sightline import config, report
+from sightline import config, queries, report
 from sightline.functions import bins, geometry, names
 from sightline.operators import matching, stats
 from sightline.plans import indexing, jobs, store
@@ -14,6 +16,8 @@ from sightline.streaming import score
 
 from .test_matching import A, B, C, FAR, frames, scene
 
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 @pytest.mark.parametrize("told", [
     {"area_buckets": {"small_max": 0.3, "medium_max": 0.2}}, {"splits": {"fractions": {"train": 0.5, "valid": 0.2, "test": 0.2}}}, {"splits": {"datasets": {"a": {"method": "temporal", "recording_pattern": "(?P<recording>.+)"}}}},
@@ -82,6 +86,38 @@ def test_names_and_bins(spark):
         bins.quantile_edges(nums.limit(0), "v", 4)
 
 
+def _with_table(folder, tmp_path, spark, name, values, column):
+    for file in os.listdir(folder):
+        os.symlink(f"{folder}/{file}", tmp_path / file)
+    own = spark.read.parquet(f"{folder}/{name}.parquet").limit(len(values)).toPandas()
+    own[column] = values
+    (tmp_path / f"{name}.parquet").unlink()
+    own.to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    for file in os.listdir(folder):
+        con.execute(f"create view {file.split('.')[0]} as select * from '{tmp_path}/{file}'")
+    return con
+
+
+#: Their quartiles are 12.25, 20.25 and 30.45, halves to one decimal, and so are values between rounded edges.
+HALVES = [1.0, 12.25, 12.2, 12.25, 20.2, 20.25, 20.25, 30.4, 30.45, 30.5, 50.0, 12.25, 30.45]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_bins_of_halves_equal_sql(spark, tmp_path):
+    con = _with_table(FOLDER, tmp_path, spark, "events", HALVES, "value")
+    got = queries.QUERIES["quantile_bins"](spark, str(tmp_path)).select("event_id", "bin").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["quantile_bins"]).fetchall())
+
+
+def test_quantiles_equal_duckdb_to_the_last_bit(spark):
+    con = duckdb.connect()
+    for values in ([929.68] * 3, [27.26, 27.57], [143.44, 143.76, 143.76], [-0.05, -0.15, -0.25, -0.35]):
+        told = con.execute("select list_transform(quantile_cont(x, [0.25, 0.5, 0.75]), lambda q: [q, round(q, 1)]) from (select unnest(?::DOUBLE[]) as x)", [values]).fetchone()[0]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert [bins.quantile_edges(df, "v", 4, round_=lambda q, _: q), bins.quantile_edges(df, "v", 4, round_=bins.half_away)] == [list(x) for x in zip(*told, strict=True)]
+
+
 def test_geometry_edges(spark):
     row = spark.range(1).select(
         geometry.iou(*[tuple(F.lit(float(v)) for v in b) for b in ((0, 0, 0, 0), (0, 0, 0, 0))]).alias("none"),
