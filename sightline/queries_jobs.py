@@ -169,7 +169,7 @@ def slice_features(spark, d):
     n = gt.groupBy("image_id").agg(F.count("*").alias("n"))
     told = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_totalprice").cast("double").alias("brightness"))
     images = S.images(spark, d).join(told, "image_id").join(n, "image_id", "left").fillna(0, ["n"])
-    edges = B.quantile_edges(told, "brightness", 4)
+    edges = B.quantile_edges(told, "brightness", 4, round_=B.half_away)
     name = F.concat(F.lit("bin "), B.bin_index(F.col("brightness"), F.array(*[F.lit(e) for e in edges])).cast("string"))
     from sightline.functions.names import first_source
 

@@ -110,6 +110,13 @@ def test_bins_of_halves_equal_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["quantile_bins"]).fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_slices_of_halves_equal_sql(spark, tmp_path):
+    con = _with_table(FOLDER, tmp_path, spark, "orders", HALVES, "o_totalprice")
+    got = queries.QUERIES["slice_features"](spark, str(tmp_path)).select("by", "name", "images", "labeled", "hits", "false_positives").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["slice_features"]).fetchall())
+
+
 def test_quantiles_equal_duckdb_to_the_last_bit(spark):
     con = duckdb.connect()
     for values in ([929.68] * 3, [27.26, 27.57], [143.44, 143.76, 143.76], [-0.05, -0.15, -0.25, -0.35]):
