@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from sightline.functions import names as N
 from sightline.operators import hamming as H
 from sightline.operators.components import connected_components
-from sightline.plans.store import materialize
+from sightline.plans.store import materialize, shuffled
 
 SPLITS = ("train", "valid", "test")
 FRACTIONS = (0.7, 0.15, 0.15)
@@ -26,9 +26,9 @@ def leak_groups(images: DataFrame, pattern: str | None, d: int, id_: str = "file
         recording = N.group_of(F.col(source), pattern, "recording")
         keys = F.concat(keys, F.when(recording.isNotNull(), F.array(F.concat(F.lit("recording:"), recording))).otherwise(F.array().cast("array<string>")))
     keyed = images.select(F.col(id_).alias("src"), F.explode(keys).alias("key")).filter("key is not null")
-    links = keyed.join(keyed.groupBy("key").agg(F.min("src").alias("dst")), "key").select("src", "dst").filter("src <> dst")
+    links = keyed.join(shuffled(keyed.groupBy("key").agg(F.min("src").alias("dst"))), "key").select("src", "dst").filter("src <> dst")
     found = connected_components(links.union(H.near_links(images, d, id_)))
-    return images.join(found.withColumnRenamed("node", id_), id_, "left").withColumn("unit", F.coalesce("component", id_)).drop("component")
+    return images.join(shuffled(found.withColumnRenamed("node", id_)), id_, "left").withColumn("unit", F.coalesce("component", id_)).drop("component")
 
 
 def copy_groups(images: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def assign_groups(grouped: DataFrame, seed: str, fractions: tuple[float, float,
 def grouped_split(images: DataFrame, pattern: str | None, d: int, seed: str, fractions: tuple[float, float, float] = FRACTIONS) -> DataFrame:
     """Images with unit and split, so that related images stay together."""
     grouped = leak_groups(images, pattern, d)
-    return grouped.drop("split").join(assign_groups(grouped, seed, fractions).select("unit", "split"), "unit")
+    return grouped.drop("split").join(shuffled(assign_groups(grouped, seed, fractions).select("unit", "split")), "unit")
 
 
 def eval_only_split(images: DataFrame, pattern: str | None, d: int) -> DataFrame:
@@ -115,7 +115,7 @@ def eval_only_split(images: DataFrame, pattern: str | None, d: int) -> DataFrame
 def drop_near_test(assigned: DataFrame, d: int) -> DataFrame:
     """Rows with ``dropped`` set to near_test for kept train and valid images near a test image."""
     near = H.near_test(assigned.filter("dropped is null"), d).select("file_name", F.lit("near_test").alias("why")).distinct()
-    return assigned.join(near, "file_name", "left").withColumn("dropped", F.coalesce("dropped", "why")).drop("why")
+    return assigned.join(shuffled(near), "file_name", "left").withColumn("dropped", F.coalesce("dropped", "why")).drop("why")
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

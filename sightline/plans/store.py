@@ -78,6 +78,11 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
         delete(spark, folder)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a hint that keeps a join from broadcasting it, however small the planner takes it for."""
+    return df.hint("merge")
+
+
 def bounded(df: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
     """``df`` written once, with a broadcast hint if it has at most ``rows`` rows; beyond that, joins shuffle."""
     from pyspark.sql import functions as F

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sightline.plans.store import materialize
+from sightline.plans.store import materialize, shuffled
 
 WIDTH, HEIGHT = 1280, 960
 
@@ -72,7 +72,7 @@ def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(F.col("a")[b] > F.col("mid"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
     hashes = per.select("doc_id", bits.alias("hash"))
     split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 8, "valid").otherwise("test")
-    joined = docs.drop("text").join(hashes, "doc_id", "left").select("doc_id", "dataset", split.alias("split"), F.concat(F.lit("d"), "doc_id", F.lit(".jpg")).alias("file_name"), "content", F.coalesce("hash", F.lit(0)).alias("hash"))
+    joined = docs.drop("text").join(shuffled(hashes), "doc_id", "left").select("doc_id", "dataset", split.alias("split"), F.concat(F.lit("d"), "doc_id", F.lit(".jpg")).alias("file_name"), "content", F.coalesce("hash", F.lit(0)).alias("hash"))
     return materialize(joined, "hashed")
 
 

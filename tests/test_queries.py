@@ -36,6 +36,19 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(cols, told.fetchall())
 
 
+#: Their joins grow with the documents.
+SHUFFLED = ["near_duplicates"]
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_sides_that_grow_are_not_broadcast(spark, monkeypatch, name):
+    kind, plans = type(spark.range(1)), []
+    write = kind.write.fget
+    monkeypatch.setattr(kind, "write", property(lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1]))
+    queries.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+
+
 def test_export_keys_of_even_ids_are_checked(spark, tmp_path):
     for file in os.listdir(FOLDER):
         os.symlink(f"{FOLDER}/{file}", tmp_path / file)
