@@ -53,14 +53,18 @@ def _sides(labels: DataFrame, preds: DataFrame, by: list[str]) -> DataFrame:
 def greedy(pairs: DataFrame, keys: list[str], order: list[tuple[str, Column]], keep: dict[str, Column]) -> DataFrame:
     """Walks each group's pairs in order and takes those whose label and prediction are both free."""
     listed = F.struct(*[c.alias(f"o{i}_{n}") for i, (n, c) in enumerate(order)], F.col("label_ix"), F.col("pred_ix"), *[c.alias(n) for n, c in keep.items()])
-    rows = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(listed)).alias("ps"))
+    took = walk(pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(listed)).alias("ps")), keys)
+    return took.select(*keys, "m.label_ix", "m.pred_ix", *[f"m.{n}" for n in keep])
+
+
+def walk(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m) of the pairs taken from each row's sorted list ``ps``."""
     kind = rows.schema["ps"].dataType.simpleString()
     start = F.struct(F.array().cast("array<bigint>").alias("l"), F.array().cast("array<bigint>").alias("p"), F.array().cast(kind).alias("took"))
     add = lambda acc, x: F.struct(F.array_append(acc["l"], x["label_ix"].cast("bigint")).alias("l"), F.array_append(acc["p"], x["pred_ix"].cast("bigint")).alias("p"), F.array_append(acc["took"], x).alias("took"))
     step = lambda acc, x: F.when(F.array_contains(acc["l"], x["label_ix"].cast("bigint")) | F.array_contains(acc["p"], x["pred_ix"].cast("bigint")), acc).otherwise(add(acc, x))
     walked = F.aggregate("ps", start, step, lambda acc: acc["took"])
-    took = rows.select(*keys, F.explode(walked).alias("m"))
-    return took.select(*keys, "m.label_ix", "m.pred_ix", *[f"m.{n}" for n in keep])
+    return rows.select(*keys, F.explode(walked).alias("m"))
 
 
 def match_boxes(labels: DataFrame, preds: DataFrame, iou: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -644,11 +644,8 @@ SELECT size, label, round(sum(coalesce(ap, 0)) / {len(IOUS)}, 6) AS ap FROM n LE
 
 @query("average_precision_by_size", _sized_ap_sql())
 def average_precision_by_size(spark, d):
-    gt, pd, out = _gt(spark, d), _pd(spark, d, None), None
-    for size, area in SIZES.items():
-        own = X.average_precision(gt, pd, IOUS, area).groupBy("label").agg(X.round6(F.avg("ap")).alias("ap")).select(F.lit(size).alias("size"), "label", "ap")
-        out = own if out is None else out.union(own)
-    return out
+    ap = X.average_precision_of_areas(_gt(spark, d), _pd(spark, d, None), IOUS, SIZES)
+    return ap.groupBy(F.col("area").alias("size"), "label").agg(X.round6(F.avg("ap")).alias("ap"))
 
 
 import sightline.queries_jobs  # noqa: E402,F401  registers what runs whole jobs, sources and sinks

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 
 import pytest
 
+from sightline import queries
 from sightline.operators import bootstrap, diagnose, matching, metrics, threshold
 
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LABELS = "image_id string, label_ix long, label string, x1 double, y1 double, x2 double, y2 double"
 PREDS = "image_id string, pred_ix long, label string, conf double, x1 double, y1 double, x2 double, y2 double"
 A, B, C, FAR = (0.0, 0.0, 10.0, 10.0), (20.0, 20.0, 30.0, 30.0), (40.0, 40.0, 50.0, 50.0), (50.0, 0.0, 60.0, 10.0)
@@ -139,6 +142,24 @@ def test_average_precision_by_size(mixed):
     assert metrics.average_precision(labels, preds, [0.5], area=(50, 500)).first()["ap"] == pytest.approx(metrics.average_precision(labels, preds, [0.5]).first()["ap"])
 
 
+def test_areas_together_equal_areas_alone(spark):
+    ious, areas = [0.3, 0.5, 0.75], {"all": (0.0, 1e18), "small": (0.0, 90.0), "large": (90.0, 1e18), "none": (1e17, 1e18)}
+    for seed in range(3):
+        gt, pd = frames(spark, *scene(seed, 30))
+        got = {(r["area"], r["label"], r["iou_at"]): r["ap"] for r in metrics.average_precision_of_areas(gt, pd, ious, areas).collect()}
+        want = {(a, r["label"], r["iou_at"]): r["ap"] for a, own in areas.items() for r in metrics.average_precision(gt, pd, ious, own).collect()}
+        assert got == pytest.approx(want) and len({v for v in want.values()}) > 5
+
+
+def test_sizes_are_matched_once(spark, monkeypatch):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    calls, joined = [], metrics.M.greedy
+    monkeypatch.setattr(metrics.M, "greedy", lambda *a: calls.append(a) or joined(*a))
+    queries.QUERIES["average_precision_by_size"](spark, FOLDER)
+    assert len(calls) <= 1
+
+
 def test_false_positive_kinds(spark):
     labels = [("1", 0, "fuel", A), ("1", 1, "robot", C)]
     preds = [("1", 0, "fuel", 0.9, A), ("1", 1, "fuel", 0.8, (0.0, 0.0, 10.0, 9.0)), ("1", 2, "fuel", 0.7, (6.0, 0.0, 16.0, 10.0)), ("1", 3, "fuel", 0.6, (44.0, 44.0, 46.0, 46.0)), ("1", 4, "fuel", 0.5, FAR)]
