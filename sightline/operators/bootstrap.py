@@ -18,8 +18,8 @@ from sightline.plans.indexing import with_index
 from sightline.plans.store import materialize
 
 #: Confidences are cut into a bin for every BIN_ROWS predictions.  A task takes a bin and RESAMPLES
-#: resamples, and holds BLOCK predictions at once.
-BIN_ROWS, RESAMPLES, BLOCK = 4096, 250, 8192
+#: resamples, in at most RUNS runs of RUN predictions or a multiple of that, and looks into LOOKS at once.
+BIN_ROWS, RESAMPLES, RUN, RUNS, LOOKS, FEW_UNITS = 4096, 1000, 64, 1024, 8192, 256
 
 
 def draw(units: DataFrame, resamples: int, seed: str) -> DataFrame:
@@ -68,18 +68,22 @@ def average_precisions(facts: DataFrame, labels: DataFrame, units: DataFrame, dr
     begun = materialize(begun.withColumn("chunk", F.floor(F.col("resample") / RESAMPLES).cast("int")), "starts")
     # a bin's predictions meet the starts and weights of a chunk of resamples
     held = rows.join(begun.select(*keys, "bin", "chunk").distinct(), [*keys, "bin"]).select(*keys, "bin", (F.col("chunk") + 0).alias("chunk"), "conf", F.col("image_id").cast("string").alias("image"), "pred_ix", "unit", "tp")
-    tops = lambda later: _walk(held, begun if later is None else begun.join(later, [*keys, "bin", "resample"]), later is not None)
-    peak = materialize(tops(None), "peaks")
+    found = materialize(_walk(held, begun), "points")
     after = W.partitionBy(*keys, "resample").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    later = peak.select(*keys, "bin", "resample", F.coalesce(F.max("value").over(after), F.lit(0.0)).alias("later"))
-    area = tops(later).groupBy("resample", *keys).agg((F.sum("value") / 101).alias("ap"))
+    later = found.groupBy(*keys, "resample", "bin").agg(F.max("value").alias("top")).select(*keys, "resample", "bin", F.coalesce(F.max("top").over(after), F.lit(0.0)).alias("later"))
+    area = found.filter("share > 0").join(later, [*keys, "resample", "bin"]).groupBy("resample", *keys).agg((F.sum(F.col("share") * F.greatest("value", "later")) / 101).alias("ap"))
     every = totals.select("resample", "label").join(facts.select(*keys).distinct(), "label")
     return every.join(area, ["resample", *keys], "left").select("resample", *keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
-def _walk(held: DataFrame, begun: DataFrame, last: bool) -> DataFrame:
-    """(label, iou_at, bin, resample, value): a bin's best precision, or at ``last`` its part of the area."""
-    schema = pa.schema([("label", pa.string()), ("iou_at", pa.float64()), ("bin", pa.int64()), ("resample", pa.int32()), ("value", pa.float64())])
+def _walk(held: DataFrame, begun: DataFrame) -> DataFrame:
+    """(label, iou_at, bin, resample, share, value) of a bin: its best precision (share 0), and where recall
+    points are reached (share of them) the best precision from there on in the bin.
+
+    Runs of predictions are summed first.  A run is looked into only where a resample reaches a
+    recall point in it, or where its hits, put before its misses, would beat the precision that is
+    known to come between the recall point before it and the bin's end; so no maximum is missed.
+    """
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         label, iou, bin_, _ = (k.as_py() for k in key)
@@ -88,31 +92,62 @@ def _walk(held: DataFrame, begun: DataFrame, last: bool) -> DataFrame:
         names, codes = np.unique(left["unit"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
         told = lists.flatten()
         who = np.searchsorted(names, told.field("unit").to_numpy(zero_copy_only=False).astype(str))
-        times = np.zeros((len(names), len(resample)))
+        times = np.zeros((len(names) + 1, len(resample)))  # the last is of no unit
         times[who, np.repeat(np.arange(len(resample)), np.diff(lists.offsets.to_numpy()))] = told.field("times").to_numpy()
-        own, hits = codes[order], left["tp"].to_numpy()[order]
-        blocks = [slice(i, i + BLOCK) for i in range(0, len(order), BLOCK)]
-        ctp0, cn0 = [right["tp0"].to_numpy().astype(float)], [right["n0"].to_numpy().astype(float)]
-        for b in blocks:  # what has run before each block
-            ctp0.append(ctp0[-1] + np.bincount(own[b], weights=hits[b], minlength=len(names)) @ times)
-            cn0.append(cn0[-1] + np.bincount(own[b], minlength=len(names)) @ times)
-        value, best = np.zeros(len(resample)), right["later"].to_numpy() if last else np.zeros(len(resample))
-        for n, b in reversed(list(enumerate(blocks))):
-            w = times[own[b]]
-            tp = hits[b][:, None] * w
-            ctp, cn = ctp0[n] + np.cumsum(tp, axis=0), cn0[n] + np.cumsum(w, axis=0)
-            precision = np.divide(ctp, cn, out=np.zeros_like(cn), where=(cn > 0) & (w > 0))
-            hull = np.maximum(np.maximum.accumulate(precision[::-1], axis=0)[::-1], best)
-            best = hull[0]
-            if last:
-                total = right["n"].to_numpy()
-                points = lambda c: np.where(c > 0, c * 100 // total + 1, 0)
-                value += (hull * (points(ctp) - points(ctp - tp))).sum(axis=0)
-        value = value if last else best
-        return pa.Table.from_arrays([pa.array([label] * len(value), pa.string()), pa.array([iou] * len(value), pa.float64()), pa.array([bin_] * len(value), pa.int64()), pa.array(resample, pa.int32()), pa.array(value, pa.float64())], schema=schema)
+        step = RUN * -(-len(order) // (RUN * RUNS))
+        runs = -(-len(order) // step)
+        own = np.full(runs * step, len(names))
+        own[: len(order)] = codes[order]
+        hits = np.zeros(runs * step)
+        hits[: len(order)] = left["tp"].to_numpy()[order]
+        total, col = right["n"].to_numpy(), np.arange(len(resample))
+        points = lambda c, n: np.where(c > 0, c * 100 // n + 1, 0)
+        n = _summed(own, np.ones(len(own)), times, step)
+        tp = _summed(own, hits, times, step)
+        ctp, cn = right["tp0"].to_numpy() + np.cumsum(tp, axis=0), right["n0"].to_numpy() + np.cumsum(n, axis=0)
+        ctp0, cn0 = ctp - tp, cn - n
+        least = np.divide(ctp, cn, out=np.zeros_like(cn), where=tp > 0)
+        most = np.divide(ctp, cn0 + tp, out=np.zeros_like(cn), where=tp > 0)
+        reached = points(ctp, total) != points(ctp0, total)
+        known = np.maximum.accumulate(least[::-1], axis=0)[::-1]
+        begins = np.zeros(tp.shape, dtype=np.int64)
+        begins[1:] = np.maximum.accumulate(np.where(reached, np.arange(1, runs + 1)[:, None], 0), axis=0)[:-1]
+        look = reached | (most > np.take_along_axis(known, begins, axis=0))
+        best, found = least, []
+        at, who = np.nonzero(look)
+        for i in range(0, len(at), LOOKS * RUN // step + 1):
+            j, r = at[i : i + LOOKS * RUN // step + 1], who[i : i + LOOKS * RUN // step + 1]
+            rows = j[:, None] * step + np.arange(step)
+            w = times[own[rows], r[:, None]]
+            hit = w * hits[rows]
+            c = ctp0[j, r][:, None] + np.cumsum(hit, axis=1)
+            precision = np.divide(c, cn0[j, r][:, None] + np.cumsum(w, axis=1), out=np.zeros_like(c), where=hit > 0)
+            hull = np.maximum.accumulate(precision[:, ::-1], axis=1)[:, ::-1]
+            best[j, r] = np.maximum(best[j, r], hull[:, 0])
+            share = points(c, total[r][:, None]) - points(c - hit, total[r][:, None])
+            x, y = np.nonzero(share)
+            found.append((j[x], r[x], share[x, y], hull[x, y]))
+        later = np.zeros((runs + 1, len(resample)))
+        later[:-1] = np.maximum.accumulate(best[::-1], axis=0)[::-1]
+        j, r, share, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 4
+        value = np.maximum(value, later[j + 1, r])
+        r, share, value = np.r_[r, col], np.r_[share, np.zeros(len(col))], np.r_[value, later[0]]
+        return pa.Table.from_arrays([pa.array([label] * len(r), pa.string()), pa.array([iou] * len(r), pa.float64()), pa.array([bin_] * len(r), pa.int64()), pa.array(resample[r], pa.int32()), pa.array(share.astype(np.int64)), pa.array(value, pa.float64())], names=["label", "iou_at", "bin", "resample", "share", "value"])
 
     groups = ["label", "iou_at", "bin", "chunk"]
-    return held.groupBy(*groups).cogroup(begun.groupBy(*groups)).applyInArrow(run, "label string, iou_at double, bin long, resample int, value double")
+    return held.groupBy(*groups).cogroup(begun.groupBy(*groups)).applyInArrow(run, "label string, iou_at double, bin long, resample int, share long, value double")
+
+
+def _summed(own: np.ndarray, weights: np.ndarray, times: np.ndarray, step: int) -> np.ndarray:
+    """Weights times draws, summed over runs of ``step`` rows: (runs, resamples)."""
+    runs, units = len(own) // step, len(times)
+    if units <= FEW_UNITS:
+        return np.bincount(np.arange(len(own)) // step * units + own, weights=weights, minlength=runs * units).reshape(runs, units) @ times
+    out = np.zeros((runs, times.shape[1]))
+    for i in range(runs):
+        rows = slice(i * step, (i + 1) * step)
+        out[i] = weights[rows] @ times[own[rows]]
+    return out
 
 
 def percentile_interval(values: DataFrame, value: str, level: float, by: list[str]) -> DataFrame:
