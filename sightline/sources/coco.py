@@ -10,9 +10,9 @@ from sightline.plans.store import materialize
 from sightline.sources import files
 
 ANNOTATIONS = "_annotations.coco.json"
-SCHEMA = """categories array<struct<id:bigint,name:string,supercategory:string>>,
-images array<struct<id:bigint,file_name:string,width:int,height:int,extra:struct<name:string,source_split:string,source_dataset:string>>>,
-annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>"""
+CATEGORY = "id bigint, name string, supercategory string"
+IMAGE = "id bigint, file_name string, width int, height int, extra struct<name:string,source_split:string,source_dataset:string>"
+ANNOTATION = "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd int"
 
 
 class BadAnnotation(ValueError):
@@ -29,15 +29,13 @@ def scan(spark: SparkSession, folder: str, dataset: str, splits: tuple[str, ...]
     paths = [p for p in files.list_files(spark, f"{folder}/*/{ANNOTATIONS}") if splits is None or p.split("/")[-2] in splits]
     if not paths:
         raise ValueError(f"no annotation file in {folder}")
-    parsed = F.from_json("value", SCHEMA, {"mode": "FAILFAST"})
-    raw = files.read_texts(spark, paths).select(F.lit(dataset).alias("dataset"), F.element_at(F.split("path", "/"), -2).alias("split"), parsed.alias("j")).select("dataset", "split", "j.*")
-    raw = materialize(raw, "coco")
+    raw = files.read_members(spark, paths, ("categories", "images", "annotations"))
+    raw = materialize(raw.select(F.lit(dataset).alias("dataset"), F.element_at(F.split("path", "/"), -2).alias("split"), "section", "position", "value"), "coco")
     key = lambda id_: F.concat_ws("/", "dataset", "split", id_.cast("string"))
-    images = raw.select("dataset", "split", F.posexplode("images").alias("position", "i")).select(
-        "dataset", "split", "i.file_name", F.coalesce("i.extra.name", "i.file_name").alias("source_name"), "i.width", "i.height", key(F.col("i.id")).alias("image_id"), "position"
-    )
-    anns = raw.select("dataset", "split", F.posexplode("annotations").alias("label_ix", "a")).select("dataset", "split", "label_ix", key(F.col("a.image_id")).alias("image_id"), "a.category_id", "a.bbox", F.col("a.id").alias("ann_id"))
-    names = raw.select("dataset", "split", F.explode("categories").alias("c")).select("dataset", "split", F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    of = lambda section, schema: raw.filter(F.col("section") == section).select("dataset", "split", F.col("position").cast("int").alias("position"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("i"))
+    images = of("images", IMAGE).select("dataset", "split", "i.file_name", F.coalesce("i.extra.name", "i.file_name").alias("source_name"), "i.width", "i.height", key(F.col("i.id")).alias("image_id"), "position")
+    anns = of("annotations", ANNOTATION).select("dataset", "split", F.col("position").alias("label_ix"), key(F.col("i.image_id")).alias("image_id"), "i.category_id", "i.bbox", F.col("i.id").alias("ann_id"))
+    names = of("categories", CATEGORY).select("dataset", "split", F.col("i.id").alias("category_id"), F.col("i.name").alias("label"))
     for kind, lost in (("category", anns.join(names, ["dataset", "split", "category_id"], "left_anti")), ("image", anns.join(images.select("image_id"), "image_id", "left_anti"))):
         if bad := lost.select("split", "ann_id").limit(1).collect():
             raise BadAnnotation(f"annotation {bad[0]['ann_id']} of {bad[0]['split']} has an unknown {kind}")
