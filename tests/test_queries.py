@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Their joins grow with the documents.
-SHUFFLED = ["near_duplicates", "grouped_split"]
+SHUFFLED = ["near_duplicates", "grouped_split", "assign_groups"]
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
