@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Their joins grow with the documents.
-SHUFFLED = ["near_duplicates", "grouped_split", "assign_groups", "cross_dataset_pairs"]
+SHUFFLED = ["near_duplicates", "grouped_split", "assign_groups", "cross_dataset_pairs", "eval_only_split"]
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
