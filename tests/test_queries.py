@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Their joins grow with the documents.
-SHUFFLED = ["near_duplicates", "grouped_split", "assign_groups", "cross_dataset_pairs", "eval_only_split", "image_units", "leak_groups", "pair_examples"]
+SHUFFLED = ["near_duplicates", "grouped_split", "assign_groups", "cross_dataset_pairs", "eval_only_split", "image_units", "leak_groups", "pair_examples", "near_pair_summary"]
 
 
 @pytest.mark.parametrize("name", SHUFFLED)
